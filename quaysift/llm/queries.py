@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysift.llm import encoding, linkage
+from quaysift.llm import encoding, leakage, linkage
 from quaysift.session import table
 
 
@@ -32,3 +32,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the shares found."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of held-out items and the documents that hold them."""
+    return p7_leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks}
