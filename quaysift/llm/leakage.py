@@ -8,7 +8,7 @@ for reordered passages the coverage by long tiles within a narrow window, reache
 The items are the query set: they are fixed in number (at most ``block`` are held at once; more are taken in blocks,
 each against all documents). Every document is read whole in one pass without a shuffle; candidates of a document
 are the items with which it shares a telling word (one that few items hold, if the item has any) and enough word pairs,
-looked up in an index of all words and pairs of the items. A stretch must hold half of its item's telling words there.
+looked up in an index of all words and pairs of the items. A stretch must hold three fifths of its item's telling words there.
 
 Words are compared in lower case, without invisible characters, look-alike letters, grouping marks in numbers and
 hyphens at line ends. An opening instruction, ending in a colon and shared by several items, is left out of both
@@ -40,7 +40,7 @@ _GROUPED = re.compile(r"(?<=\d)[,.'’   ](?=\d)")
 _WORD = re.compile(r"[^\W_]+")
 MASK = (1 << 61) - 1
 BASE = 1_000_003
-SEED, GAP, THIRD, DENSITY = 2, 3, 1 / 3, 0.68
+SEED, GAP, THIRD, DENSITY = 2, 5, 1 / 3, 0.68
 
 
 def words(text: str | None) -> list[str]:
@@ -170,7 +170,7 @@ def stretch(a: list[int], found: list[tuple[int, int, int]], telling: set[int])
                 held = set()
                 for i, j, m in order[s : last + 1]:
                     held.update(range(i, i + m))
-                if not telling.intersection(a) or inside and sum(k in held for k in inside) >= 0.5 * len(inside):
+                if not telling.intersection(a) or inside and sum(k in held for k in inside) >= 0.6 * len(inside):
                     best, best_share = span, span / total
             nxt = None
             while pending < len(order) and order[pending][1] - end_b <= GAP:
