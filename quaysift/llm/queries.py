@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysift.llm import encoding, leakage, linkage
+from quaysift.llm import encoding, leakage, linkage, splitting
 from quaysift.session import table
 
 
@@ -45,3 +45,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks}
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the oversized chunks in the order of their documents."""
+    keep = ["run_id", "doc_name", "page", "chunk_id", "pos"]
+    return splitting.pieces(table(spark, sf_dir, "doc_chunks"), "chunk_key", "text", keep)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that had to be split."""
+    cut = splitting.pieces(table(spark, sf_dir, "doc_chunks"), "chunk_key", "text", with_text=False)
+    return cut.filter("n_pieces > 1").select("chunk_key").distinct()
+
+
+QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces}
+SQL["p2_found"] = "SELECT DISTINCT chunk_key FROM doc_chunks WHERE length(text) > 800"
