@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysift.llm import encoding, leakage, linkage, splitting
+from quaysift.llm import encoding, leakage, linkage, splitting, truncation
 from quaysift.session import table
 
 
@@ -61,3 +61,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces}
 SQL["p2_found"] = "SELECT DISTINCT chunk_key FROM doc_chunks WHERE length(text) > 800"
+
+
+def _p3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.check(truncation.records(table(spark, sf_dir, "doc_chunks"), table(spark, sf_dir, "evidence_chunks")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that were cut off."""
+    return _p3(spark, sf_dir).filter("cut").select("tbl", "row_key").distinct()
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut rows by source."""
+    return truncation.shares(_p3(spark, sf_dir))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_shares": p3_shares}

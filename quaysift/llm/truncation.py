@@ -4,9 +4,9 @@ Method: a structural completeness check. A stack automaton reads the whole text
 quotation marks, markup); its end state tells whether something is unclosed, a multibyte sequence or an escape is
 broken, a terminator is missing, or a table row has fewer cells than its header. A missing terminator is judged
 against the baseline of complete lines: an unterminated last line is complete if lines of the same form (digits as 0,
-names as Xx) also stand within other texts, where nothing can have cut them; likewise the last cell of a table.
-Lengths at which a source's texts pile up are its field limits; there a label or cell that merely may be complete
-counts as cut only if its form is rare.
+names as Xx), or of the same label and the same form of value, also stand within other texts, where nothing can have
+cut them; likewise the last cell of a table. Lengths at which a source's texts pile up are its field limits; a last cell
+which merely may be complete counts as cut there unless its form is frequent.
 
 Scale: one pass over the texts; the inventories are partial aggregates by form, joined only with the few undecided
 rows. Nothing is collected.
@@ -29,10 +29,11 @@ CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _EVENT = re.compile(r"[()\[\]{}“”„«»\"]")
 _TERMINATED = re.compile(r"[.!?。！？][\"”’»)\]*_]*$")
 #: Abbreviations after which a sentence goes on.
-_ABBREVIATED = re.compile(r"(?:\b(?:mr|mrs|ms|dr|prof|no|nos|vs|incl|approx|st|p\.o|apt|art|dept|fig|cf|e\.g|i\.e|ext|tel)|(?:^|\s)[A-Z])\.$", re.I)
-_INITIAL = re.compile(r"(?:^|\s)(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Dr|Prof|no|nos|vs|approx|incl|ext|P\.O|Apt|Tel)\.$")
+_INITIAL = re.compile(r"(?:^|(?<!\d)\s)(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Dr|Prof|no|nos|vs|approx|incl|ext|P\.O|Apt|Tel)\.$")
 _BROKEN_END = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?[a-zA-Z0-9]{0,8}|<[/a-zA-Z][^<>\n]{0,80}|%[0-9A-Fa-f]?|�)$")
 _MARKED = re.compile(r"(?:\.\.\.|…)[\"”’»)\]]*$")
+#: A whole mail address at the end, up to one of the usual last labels (fixed values).
+MAIL_AT_END = r"(?i)\S\s?(?:@|\(at\)|\[at\])\s?[\w-][\w. -]*(?:\.|\(dot\)|\[dot\])\s?(?:example|invalid|test|localhost|com|org|net|edu|gov|io|co|uk|de|fr|es|pt|pl|ru|it|nl|eu|ch|at|us)$"
 _PLACEHOLDER = re.compile(r"^[(\[]?\s*(?:empty|no text|n/?a|none|null|tbd|-+|not available|blank|page intentionally left blank)\s*[)\]]?\.?$", re.I)
 
 
@@ -92,6 +93,15 @@ def digits_as_zero(c: Column) -> Column:
     return F.regexp_replace(c, r"\d", "0")
 
 
+def line_key(c: Column) -> Column:
+    """A line with its periods as PP, well-formed amounts as $G or $N, percentages as N% and other digits as 0."""
+    c = digits_as_zero(c)
+    c = F.regexp_replace(c, r"\b(?:Q0 (?:FY)?0000|FY ?0000|FY ?00|0000-Q0|the trailing twelve months|TTM|LTM)\b", "PP")
+    c = F.regexp_replace(c, r"[$€£]0{1,3}(?:,000)+(?![\d,.])", r"\$G")
+    c = F.regexp_replace(c, r"[$€£]0+(?:\.0+)?", r"\$N")
+    return F.regexp_replace(c, r"\b0+(?:\.0+)?(?= ?%| percent)", "N")
+
+
 def form(c: Column) -> Column:
     """A line's form: mail addresses by their last label, capitalised words as Xx, digits as 0, runs of Xx as one."""
     c = F.regexp_replace(c, r"(?i)\S+\s?(?:@|\(at\)|\[at\])\s?[\w.-]*?(?:\.|\(dot\)|\[dot\]|\s)+([a-z]+)(?=[\s;,)\]]|$)", "@$1")
@@ -124,9 +134,12 @@ def check(rows: DataFrame, support: int = 2) -> DataFrame:
         .select(F.trim("line").alias("line"))
     )
     short = inner.filter((F.length("line").between(1, 160)) & ~F.col("line").contains(" | ") & ~F.col("line").rlike(r"[.!?][\"”’»)\]]*$"))
-    lines = short.groupBy(digits_as_zero(F.col("line")).alias("exact")).agg(F.count("*").alias("n"))
+    lines = short.groupBy(line_key(F.col("line")).alias("exact")).agg(F.count("*").alias("n"))
     exact = lines.filter(F.col("n") >= support).select("exact", F.col("n").alias("n_exact"))
     forms = lines.groupBy(form(F.col("exact")).alias("form")).agg(F.sum("n").alias("n_form")).filter(F.col("n_form") >= support)
+    label, value = F.regexp_extract("exact", r"^(.{1,60}?): (.+)$", 1), F.regexp_extract("exact", r"^(.{1,60}?): (.+)$", 2)
+    labels = lines.groupBy(label.alias("label")).agg(F.sum("n").alias("n_label")).filter((F.col("n_label") >= support) & (F.col("label") != ""))
+    values = lines.groupBy(value.alias("val")).agg(F.sum("n").alias("n_value")).filter((F.col("n_value") >= support) & (F.col("val") != ""))
     tails = lines.groupBy(F.regexp_extract("exact", r"(\S+)$", 1).alias("tail")).agg(F.sum("n").alias("n_tail")).filter(F.col("n_tail") >= support)
     cells = (
         inner.filter(F.col("line").contains(" | "))
@@ -135,18 +148,20 @@ def check(rows: DataFrame, support: int = 2) -> DataFrame:
     )
     limits = judged.groupBy("tbl", "source", "size").agg(F.count("*").alias("n_size"), F.sum((F.col("verdict") == "cut").cast("int")).alias("n_cut"))
     limits = limits.filter((F.col("n_cut") >= 8) & (F.col("n_cut") >= 0.5 * F.col("n_size"))).select("tbl", "source", "size", F.lit(True).alias("at_limit"))
-    open_lines = judged.filter((F.col("verdict") == "undecided") & F.col("line").isNotNull()).withColumn("exact", digits_as_zero(F.col("line")))
+    open_lines = judged.filter((F.col("verdict") == "undecided") & F.col("line").isNotNull()).withColumn("exact", line_key(F.trim("line")))
     open_lines = open_lines.withColumn("form", form(F.col("exact"))).withColumn("tail", F.regexp_extract("exact", r"(\S+)$", 1))
-    by_line = open_lines.join(exact, "exact", "left").join(forms, "form", "left").join(tails, "tail", "left").join(limits, ["tbl", "source", "size"], "left")
+    open_lines = open_lines.withColumn("label", label).withColumn("val", value)
+    by_line = open_lines.join(exact, "exact", "left").join(forms, "form", "left").join(tails, "tail", "left").join(labels, "label", "left").join(values, "val", "left")
     personal = F.col("form").rlike(r"@|0000|Xx")
     same = F.col("n_exact").isNotNull()
     alike = F.col("n_form").isNotNull() & personal & (F.col("n_tail").isNotNull() | F.col("tail").rlike(r"[0@]"))
     run = F.col("line").rlike(r"^\S{40,}$")
-    at_limit = F.coalesce(F.col("at_limit"), F.lit(False))
-    by_line = by_line.select("tbl", "row_key", "source", (~(same | alike | run) | (at_limit & ~(F.coalesce(F.col("n_exact"), F.lit(0)) >= 5 * support))).alias("cut"))
+    mailed = F.col("line").rlike(MAIL_AT_END)
+    labelled = F.col("n_label").isNotNull() & F.col("n_value").isNotNull()
+    by_line = by_line.select("tbl", "row_key", "source", (~(same | labelled | alike | run | mailed)).alias("cut"))
     open_cells = judged.filter((F.col("verdict") == "undecided") & F.col("cell").isNotNull()).withColumn("shape", digits_as_zero(F.col("cell")))
     personal_cell = F.col("shape").rlike(r"(?i)@|\(at\)|\[at\]")
-    mail = F.col("shape").rlike(r"(?i)(?:@|\(at\)|\[at\]).*(?:\.|\(dot\)|\[dot\])\s*(?:example|invalid|test|com|org|net|co\.uk|de|fr|eu)$")
+    mail = F.col("cell").rlike(MAIL_AT_END)
     by_cell = open_cells.join(cells, "shape", "left").join(limits, ["tbl", "source", "size"], "left").select(
         "tbl", "row_key", "source",
         F.when(personal_cell, ~mail).otherwise(F.col("n_cell").isNull() | (F.coalesce(F.col("at_limit"), F.lit(False)) & (F.col("n_cell") < 5 * support))).alias("cut"),
