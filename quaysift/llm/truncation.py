@@ -29,6 +29,7 @@ CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _EVENT = re.compile(r"[()\[\]{}“”„«»\"]")
 _TERMINATED = re.compile(r"[.!?。！？][\"”’»)\]*_]*$")
 #: Abbreviations after which a sentence goes on.
+_WITHIN = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|No|no|nos|St|Rd|Ave|Tel|ext|vs|approx|incl|Apt|Dept|P\.O)\.|\b[A-Z]\.")
 _INITIAL = re.compile(r"(?:^|(?<!\d)\s)(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Dr|Prof|no|nos|vs|approx|incl|ext|P\.O|Apt|Tel)\.$")
 _BROKEN_END = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?[a-zA-Z0-9]{0,8}|<[/a-zA-Z][^<>\n]{0,80}|%[0-9A-Fa-f]?|�)$")
 _MARKED = re.compile(r"(?:\.\.\.|…)[\"”’»)\]]*$")
@@ -84,7 +85,7 @@ def judge(text: str | None) -> tuple[str, str | None, str | None]:
         return ("cut" if _INITIAL.search(inner) else "complete"), None, None
     if _BROKEN_END.search(inner) and not inner.endswith("%"):
         return "cut", None, None
-    if re.search(r"[.!?][”\"’)\]]?\s+\S", re.sub(r"\b(?:Mr|Mrs|Ms|Dr|No|St|Rd|Ave)\.|\b[A-Z]\.", "", last)) or len(last) > 160 and " " in last:
+    if re.search(r"[.!?][”\"’)\]]?\s+\S", _WITHIN.sub("", last)) or len(last) > 160 and " " in last:
         return "cut", None, None
     return "undecided", last, None
 
