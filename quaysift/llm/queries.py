@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysift.llm import encoding, leakage, linkage, splitting, truncation
+from quaysift.llm import encoding, leakage, linkage, packing, splitting, truncation
 from quaysift.session import table
 
 
@@ -78,3 +78,12 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_shares": p3_shares}
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of each document for each capacity."""
+    lengths = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(lengths, table(spark, sf_dir, "pack_targets"))
+
+
+QUERIES |= {"p6_containers": p6_containers}
