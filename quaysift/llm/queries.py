@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysift.llm import encoding, leakage, linkage, packing, splitting, truncation
+from quaysift.llm import encoding, leakage, linkage, packing, pii, splitting, truncation
 from quaysift.session import table
 
 
@@ -87,3 +87,18 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_containers": p6_containers}
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with personal data, with the text made anonymous."""
+    rows = pii.records(table(spark, sf_dir, "doc_chunks"), table(spark, sf_dir, "evidence_chunks"), table(spark, sf_dir, "financial_evidence"))
+    return pii.redact(rows).select("tbl", "row_key", F.array_join("kinds", ",").alias("kinds"), "n_spans", "redacted")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of personal data in each row."""
+    rows = pii.records(table(spark, sf_dir, "doc_chunks"), table(spark, sf_dir, "evidence_chunks"), table(spark, sf_dir, "financial_evidence"))
+    return pii.redact(rows).select("tbl", "row_key", F.explode("kinds").alias("pii_kind")).distinct()
+
+
+QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted}
