@@ -68,7 +68,7 @@ def windows(texts: list[str], rng: random.Random, vary: bool) -> tuple[np.ndarra
     return np.array(xs), np.array(ys)
 
 
-def initial(seed: int, hidden: int = 28, width: int = 16) -> dict[str, np.ndarray]:
+def initial(seed: int, hidden: int = 24, width: int = 16) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     g = lambda *s, k: (r.standard_normal(s) * k).astype(np.float32)
     b = np.zeros((2, 4 * hidden), np.float32)
@@ -160,7 +160,7 @@ def loss_and_gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) ->
     return loss, grad
 
 
-def train(x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 4e-3, seed: int = 7, say: bool = False) -> dict[str, np.ndarray]:
+def train(x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 5e-3, seed: int = 7, say: bool = False) -> dict[str, np.ndarray]:
     """Weights after ``steps`` Adam steps; windows with spans make up half of each batch."""
     r = np.random.default_rng(seed)
     w = initial(seed)
@@ -184,7 +184,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float
     return w
 
 
-def main(folder: str, rows: int = 12_000, steps: int = 2600) -> None:
+def main(folder: str, rows: int = 12_000, steps: int = 3800) -> None:
     import pyarrow.parquet as pq
 
     rng = random.Random(3)
