@@ -200,11 +200,18 @@ def _restored_word(word: str) -> tuple[str, tuple[str, ...]]:
         return out, path
     if cost(word) >= SUSPECT:
         out, path = search(word, True)
-        if path and cost(word) - cost(out) >= MARGIN and any(op != "unescape" for op in path):
+        if path and cost(word) - cost(out) >= MARGIN + min(_dense(word), 5) and any(op != "unescape" for op in path):
             return out, path
     return word, ()
 
 
+def _dense(word: str) -> int:
+    """Number of accented letters of a word that has hardly any others: some languages have such words, so alone they prove little."""
+    latin = [c for c in word if c.isalpha() and _script(c) == "l"]
+    accented = sum(ord(c) > 127 for c in latin)
+    return accented if accented > 0.6 * len(latin) else 0
+
+
 def _normal(word: str) -> str:
     return re.sub(r"\d+", "0", word)
 
