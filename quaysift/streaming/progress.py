@@ -52,7 +52,7 @@ def windowed_counts(stream: DataFrame, late: str = "2 hours", width: str = "1 ho
     return stream.withWatermark("event_ts", late).groupBy(F.window("event_ts", width).alias("w"), "status").agg(F.count("*").alias("n_events"))
 
 
-def state_machine(stream: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+def state_machine(stream: DataFrame, ttl_ms: int = 86_400_000, late: str = "2 hours") -> DataFrame:
     """State of each job after every batch: pending, running, then complete or error for good; forgotten after the time to live."""
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -60,16 +60,19 @@ def state_machine(stream: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
             state.remove()
             return
         status, seq, n = state.get if state.exists else ("pending", -1, 0)
+        latest_ms = state.getCurrentWatermarkMs()
         for pdf in frames:
+            latest_ms = max(latest_ms, int(pdf["event_ts"].max().timestamp() * 1000))
             for r in pdf.sort_values(["seq", "event_key"]).itertuples(index=False):
                 n += 1
                 if status not in TERMINAL and r.seq >= seq:
                     status, seq = r.status if r.status else "running", int(r.seq)
         state.update((status, seq, n))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(latest_ms + ttl_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "last_seq": [seq], "n_events": [n]})
 
-    return stream.groupBy("job_id").applyInPandasWithState(advance, "job_id string, status string, last_seq bigint, n_events bigint", "status string, last_seq bigint, n_events bigint", "update", "ProcessingTimeTimeout")
+    # event time decides about forgetting: a processing-time limit would keep a run over available data going
+    return stream.withWatermark("event_ts", late).groupBy("job_id").applyInPandasWithState(advance, "job_id string, status string, last_seq bigint, n_events bigint", "status string, last_seq bigint, n_events bigint", "update", "EventTimeTimeout")
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
