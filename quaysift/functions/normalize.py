@@ -112,6 +112,8 @@ def with_shown(df: DataFrame, source: str, name: str) -> DataFrame:
     size = F.abs(n)
     mark = F.when(size >= 1e9, "B").when(size >= 1e6, "M").when(size >= 1e3, "K").otherwise("")
     d = df.withColumn("__mark", mark).withColumn("__x", n / F.when(t("mark") == "B", 1e9).when(t("mark") == "M", 1e6).when(t("mark") == "K", 1e3).otherwise(1.0))
+    d = d.withColumn("__power", F.when((t("mark") == "B") & (F.abs(x) >= 10000), F.floor(F.log10(F.abs(x))).cast("int")).otherwise(0))
+    d = d.withColumn("__x", F.when(t("power") > 0, x / F.pow(F.lit(10.0), t("power").cast("double"))).otherwise(x))
     top = F.when(x == 0, 0).otherwise(F.greatest(F.floor(F.log10(F.abs(x))).cast("int"), F.lit(-12)))
     d = d.withColumn("__places", F.greatest(F.when(t("mark") == "", 5).otherwise(3) - top, F.lit(0)))
     d = d.withColumn("__scale", F.pow(F.lit(10.0), t("places").cast("double"))).withColumn("__v", F.abs(x)).withColumn("__p", t("v") * t("scale"))
@@ -120,8 +122,11 @@ def with_shown(df: DataFrame, source: str, name: str) -> DataFrame:
     up = (t("rest") > 0.5) | ((t("rest") == 0.5) & (t("whole") % 2 == 1))
     d = d.withColumn("__text", F.format_string("%.6f", F.signum(x) * (t("whole") + up.cast("int")) / t("scale")))
     d = d.withColumn("__text", F.regexp_replace(F.regexp_replace(t("text"), r"0+$", ""), r"\.$", ""))
-    plain = F.when((t("mark") == "") & (n == F.floor(n)), n.cast("bigint").cast("string")).otherwise(F.concat("__text", "__mark"))
-    return d.withColumn(name, F.when(n.isNotNull(), plain)).drop(*[f"__{c}" for c in ("mark", "x", "places", "scale", "v", "p", "hi", "whole", "rest", "text")])
+    # from ten thousand billions on, the four digits come with a power of ten
+    power = F.concat(F.lit("e+"), F.lpad(t("power").cast("string"), 2, "0"))
+    text = F.when(t("power") > 0, F.concat("__text", power)).when(F.abs(t("text").try_cast("double")) >= 10000, F.lit("1e+04")).otherwise(t("text"))
+    plain = F.when((t("mark") == "") & (n == F.floor(n)), n.cast("bigint").cast("string")).otherwise(F.concat(F.when(t("mark") == "", t("text")).otherwise(text), "__mark"))
+    return d.withColumn(name, F.when(n.isNotNull(), plain)).drop(*[f"__{c}" for c in ("mark", "x", "power", "places", "scale", "v", "p", "hi", "whole", "rest", "text")])
 
 
 def label(metric: Column) -> Column:

@@ -165,7 +165,7 @@ SQL = {
       (SELECT run_id, doc_name, string_agg(text, chr(10) || chr(10) ORDER BY pos, chunk_key) AS t FROM doc_chunks WHERE text IS NOT NULL GROUP BY 1, 2)""",
     "canonical_metrics": f"SELECT metric_name, {metric('metric_name')} AS metric FROM (SELECT metric_name FROM financial_evidence UNION SELECT metric FROM financials)",
     "canonical_periods": f"SELECT fiscal_year, {period('fiscal_year')} AS period FROM (SELECT fiscal_year FROM financial_evidence UNION SELECT fiscal_year FROM financials)",
-    "numeric_values": f"SELECT evidence_id, round({numeric('value', 'value_kind')}, 6) AS num FROM financial_evidence",
+    "numeric_values": f"SELECT evidence_id, CASE WHEN abs(num) < 1e9 THEN round(num, 6) ELSE num END AS num FROM (SELECT evidence_id, {numeric('value', 'value_kind')} AS num FROM financial_evidence)",
     "formatted_values": f"WITH {FIGURES} SELECT evidence_id, {_shown('num')} AS shown FROM figures WHERE num IS NOT NULL",
     "reconcile_groups": f"WITH {FIGURES}, {worst(0.01)} SELECT run_id, metric, period, count(*) AS n FROM figures JOIN (SELECT run_id, metric, period FROM worst) USING (run_id, metric, period) GROUP BY 1, 2, 3",
     "reconcile_worst": f"WITH {FIGURES}, {worst(0.01)} SELECT run_id, metric, period, a_id, b_id, round(delta, 9) AS delta FROM worst",

@@ -57,7 +57,7 @@ def canonical_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 def numeric_values(spark: SparkSession, sf: str) -> DataFrame:
     rows = N.with_numeric(table(spark, sf, "financial_evidence").select("evidence_id", "value", "value_kind"), "value", "value_kind")
-    return rows.select("evidence_id", F.round("num", 6).alias("num"))
+    return rows.select("evidence_id", F.when(F.abs("num") < 1e9, F.round("num", 6)).otherwise(F.col("num")).alias("num"))
 
 
 def formatted_values(spark: SparkSession, sf: str) -> DataFrame:

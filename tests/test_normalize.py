@@ -41,7 +41,7 @@ def test_agreement(spark):
 
 
 def test_shown(spark):
-    cases = [(52.9e6, "52.9M"), (48.4e6, "48.4M"), (1234.0, "1.234K"), (999999.0, "1000K"), (0.0, "0"), (12.0, "12"), (0.583333333, "0.583333"), (-2.5e9, "-2.5B"), (44235000.0, "%.4gM" % 44.235)]
+    cases = [(52.9e6, "52.9M"), (48.4e6, "48.4M"), (1234.0, "1.234K"), (999999.0, "1000K"), (0.0, "0"), (12.0, "12"), (0.583333333, "0.583333"), (-2.5e9, "-2.5B"), (44235000.0, "%.4gM" % 44.235), (7.1368e15, "7.137e+06B"), (1.2e12, "1200B")]
     df = spark.createDataFrame(cases, "n double, want string")
     assert [(r.n, r.shown) for r in N.with_shown(df, "n", "shown").collect()] == cases
 
