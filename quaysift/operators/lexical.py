@@ -36,18 +36,18 @@ def idf(stats: DataFrame, size: DataFrame, epsilon: float = DEFAULT.bm25_epsilon
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(qid, key, score) of all documents that share a term with a query; queries: qid, query (a bounded list).
 
-    The queries' terms go to the scan of the documents before the postings are aggregated, so that only their postings
-    are shuffled; the statistics over the whole vocabulary are aggregated apart.
+    The queries' terms meet the documents' before the postings are aggregated, so that only their postings are
+    shuffled (a handful of queries is broadcast by its known size); the vocabulary's statistics are aggregated apart.
     """
     size = corpus_size(docs, text)
     weights = idf(term_stats(postings(docs, key, text)), size, config.bm25_epsilon)
     asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.join(weights, "term")
     counted = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    tf = counted.select("key", "dl", F.explode("terms").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tf = counted.select("key", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     k1, b = config.bm25_k1, config.bm25_b
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(F.broadcast(wanted), "term").join(F.broadcast(size.select("avgdl"))).groupBy("qid", "key").agg(F.sum(part).alias("score"))
+    return tf.join(wanted, "term").join(F.broadcast(size.select("avgdl"))).groupBy("qid", "key").agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -102,10 +103,49 @@ def embed(docs: DataFrame, key: str, text: str, embedder: Embedder, config: Engi
     return remote.join(local, "key").select("key", F.coalesce("remote", "embedding").alias("embedding"))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, key, score, rank) by cosine; vectors: key, embedding; queries: qid, q_embedding (a bounded list)."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", "key", X.cosine(F.col("embedding"), F.col("q_embedding")).alias("score"))
-    return lexical.top_k(scored, k)
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """(qid, key, score, rank) by cosine; vectors: key, embedding; queries: qid, q_embedding.
+
+    The queries go out in blocks of a fixed size, each against all vectors. A task scores its batches by one matrix
+    product and keeps the k best of each query, so that only those are shuffled. Empty vectors, other lengths and norms
+    next to nothing score 0.
+    """
+    types = dict(vectors.dtypes) | dict(queries.dtypes)
+    schema = f"qid {types['qid']}, key {types['key']}, score double"
+    asked = queries.select("qid", "q_embedding").orderBy("qid")
+    n, out = asked.count(), None
+    for start in range(0, max(n, 1), block):
+        rows = asked.offset(start).limit(block).collect()
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in rows], [None if r.q_embedding is None else np.array(r.q_embedding, float) for r in rows]))
+
+        def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, asked_vectors = shared.value
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(asked_vectors):
+                by_size.setdefault(0 if v is None else len(v), []).append(i)
+            for pdf in frames:
+                keys = pdf["key"].to_numpy()
+                scores = np.zeros((len(ids), len(keys)))
+                sizes = np.array([0 if v is None else len(v) for v in pdf["embedding"]])
+                for size, at in by_size.items():
+                    same = np.flatnonzero(sizes == size)
+                    if not size or not len(same):
+                        continue
+                    d = np.stack([np.asarray(pdf["embedding"].iloc[i], float) for i in same])
+                    q = np.stack([asked_vectors[i] for i in at])
+                    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]
+                    tiny = (np.linalg.norm(q, axis=1) < 1e-12)[:, None] | (np.linalg.norm(d, axis=1) < 1e-12)[None, :]
+                    scores[np.ix_(at, same)] = np.where(tiny, 0.0, (q @ d.T) / np.where(tiny, 1.0, norms))
+                parts = []
+                for i, own in enumerate(scores):
+                    best = np.lexsort((keys, -np.round(own, 9)))[:k]
+                    parts.append(pd.DataFrame({"qid": ids[i], "key": keys[best], "score": own[best]}))
+                if parts:
+                    yield pd.concat(parts)
+
+        part = vectors.select("key", "embedding").mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return lexical.top_k(out, k)
 
 
 def rrf(rankings: list[DataFrame], k: int = DEFAULT.rrf_k) -> DataFrame:
