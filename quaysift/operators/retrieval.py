@@ -64,16 +64,46 @@ def expand_query(query: str) -> str:
     return " ".join(out)
 
 
-def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
-    """(key, embedding): hashed signed bag of words, of unit length; without tokens the stripped text, or 'empty', is the token."""
+def hash_weights(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
+    """(key, slot, w): hashed signed bag of words, of unit length, without the zeros.
+
+    Without tokens the stripped text, or 'empty', is the token; where all weights cancel, slot 0 has weight 1.
+    """
     stripped = F.trim(F.coalesce(F.col(text), F.lit("")))
-    terms = X.tokens(F.coalesce(F.col(text), F.lit("")))
-    terms = F.when(F.size(terms) > 0, terms).otherwise(F.array(F.when(stripped == "", "empty").otherwise(stripped)))
-    slots = docs.select(F.col(key).alias("key"), F.explode(terms).alias("term")).groupBy("key", X.hash_slot(F.col("term"), dim).alias("slot")).agg(F.sum(X.hash_sign(F.col("term"))).alias("w"))
-    packed = slots.filter("w != 0").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")) / F.col("norm"), F.lit(0.0)))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return docs.select(F.col(key).alias("key")).join(packed, "key", "left").select("key", F.when(F.col("norm").isNull(), unit).otherwise(vector).alias("embedding"))
+    named = docs.select(F.col(key).alias("key"), stripped.alias("stripped"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("found"))
+    terms = F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.when(F.col("stripped") == "", "empty").otherwise(F.col("stripped"))))
+    slots = named.select("key", F.explode(terms).alias("term")).groupBy("key", X.hash_slot(F.col("term"), dim).alias("slot")).agg(F.sum(X.hash_sign(F.col("term"))).alias("w"))
+    packed = slots.groupBy("key").agg(F.collect_list(F.when(F.col("w") != 0, F.struct("slot", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    whole = F.when(F.size("v") > 0, F.col("v")).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(1.0).alias("w"))))
+    return packed.select("key", F.inline(whole), F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm")).select("key", "slot", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
+    """(key, embedding): the hash weights as vectors."""
+    packed = hash_weights(docs, key, text, dim).groupBy("key").agg(F.collect_list(F.struct("slot", "w")).alias("v")).select("key", F.col("v.slot").alias("slots"), F.col("v.w").alias("ws"))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            dense = np.zeros((len(pdf), dim))
+            for i, (slots, ws) in enumerate(zip(pdf["slots"], pdf["ws"])):
+                dense[i, slots] = ws
+            yield pd.DataFrame({"key": pdf["key"], "embedding": list(dense)})
+
+    return packed.mapInPandas(spread, f"key {dict(packed.dtypes)['key']}, embedding array<double>")
+
+
+def sparse_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, dim: int = DEFAULT.embed_dim) -> DataFrame:
+    """(qid, key, score, rank) by cosine of the hash embeddings, without making the vectors.
+
+    Only slots that a query has meet (an equi-join, then a sum). Documents which share no slot score 0; they are looked
+    at only for queries with fewer than k positive scores.
+    """
+    asked = hash_weights(queries, "qid", "query", dim).select(F.col("key").alias("qid"), "slot", F.col("w").alias("qw"))
+    scored = hash_weights(docs, key, text, dim).join(asked, "slot").groupBy("qid", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    full = scored.filter("score > 0").groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    needy = queries.select("qid").join(full.select("qid"), "qid", "left_anti")
+    zeros = docs.select(F.col(key).alias("key")).crossJoin(needy).join(scored.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
+    return lexical.top_k(scored.unionByName(zeros), k)
 
 
 def embed(docs: DataFrame, key: str, text: str, embedder: Embedder, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -161,9 +191,7 @@ def rrf(rankings: list[DataFrame], k: int = DEFAULT.rrf_k) -> DataFrame:
 def hybrid(docs: DataFrame, key: str, text: str, queries: DataFrame, top_k: int = 5, config: EngineConfig = DEFAULT) -> DataFrame:
     """(qid, key, score, rank): dense and lexical candidates fused; queries: qid, query (a bounded list)."""
     pool = max(top_k, config.rerank_candidates)
-    vectors = hash_embedding(docs, key, text, config.embed_dim)
-    asked = hash_embedding(queries, "qid", "query", config.embed_dim).select(F.col("key").alias("qid"), F.col("embedding").alias("q_embedding"))
-    dense = dense_top_k(vectors, asked, pool)
+    dense = sparse_top_k(docs, key, text, queries, pool, config.embed_dim)
     sparse = lexical.top_k(lexical.positive_or_all(lexical.bm25(docs, key, text, queries, config)), pool)
     fused = rrf([dense, sparse], config.rrf_k)
     by = W.partitionBy("qid").orderBy(F.round("score", 12).desc(), F.col("first"), F.col("key"))
