@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaysift.session import spread
+
 #: Encodings which texts were wrongly decoded with, and those they are written in.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_2", "koi8_r", "cp866", "cp852", "iso8859_15", "cp1254", "mac_cyrillic", "cp1253", "cp1257")
 RIGHT = ("utf-8", "cp1252", "cp1251", "cp1250", "iso8859_2", "koi8_r", "cp866", "mac_roman", "cp850", "cp437", "cp852")
@@ -303,5 +305,5 @@ def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     """The garbled rows: key, restored text, whether all of it could be restored, and the conversions found."""
     beyond = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
-    out = beyond.mapInPandas(_repaired, "key bigint, restored string, whole boolean, conversions array<string>")
+    out = spread(beyond).mapInPandas(_repaired, "key bigint, restored string, whole boolean, conversions array<string>")
     return out.withColumnRenamed("key", key)

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaysift.session import spread
+
 #: Look-alike letters of other scripts.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнαοντρυ", "aeopcyxijsdhkmtbnaovtpu")
 _ODD = re.compile("[­​‌‍⁠﻿͏]|[Ѐ-ӿͰ-Ͽ＀-￯ﬀ-ﬆ‐‑]")
@@ -87,9 +89,9 @@ class Items:
             self.tokens.append(coded)
             for pair in set(zip(coded, coded[1:])):
                 self.pairs[pair].append(at)
-        spread = Counter(t for coded in self.tokens for t in set(coded))
+        held_by = Counter(t for coded in self.tokens for t in set(coded))
         few = max(2, len(self.ids) // 50)
-        self.telling = {t for t, n in spread.items() if n <= few}
+        self.telling = {t for t, n in held_by.items() if n <= few}
         self.by_telling: dict[int, list[int]] = defaultdict(list)
         self.plain: set[int] = set()
         for at, coded in enumerate(self.tokens):
@@ -223,7 +225,7 @@ def matches(text: str | None, items: Items) -> list[tuple[int, float, float]]:
 def leaked(documents: DataFrame, eval_items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = 5000) -> DataFrame:
     """(item_id, doc_id, connected, covered) of all items and the documents that hold them."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    docs = spread(documents.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0))
     queries = eval_items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull()).orderBy("item_id")
     n = queries.count()
     schema = "item_id bigint, doc_id bigint, connected double, covered double"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaysift.config import DEFAULT
-from quaysift.session import cut_lineage
+from quaysift.session import cut_lineage, spread
 
 PACKED = "target_name string, capacity_tokens int, doc_id bigint, part int, tokens int, container string, fill int"
 
@@ -52,7 +52,7 @@ def token_counts(df: DataFrame, key: str, text: str, directory: str = DEFAULT.to
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["key"], "tokens": [len(encode(t)) if t else 0 for t in pdf["text"]]})
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(count, "doc_id bigint, tokens int")
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(count, "doc_id bigint, tokens int")
 
 
 def fill(lengths: dict[int, int], room: int) -> dict[int, int]:
