@@ -7,7 +7,8 @@ consensus ADMM; a link's value in [0, 1] is its confidence.
    names in document titles find theirs by exact stem or one slip of the keyboard (a join over single-deletion
    variants of the distinct names, never all against all).
 2. Rows which agree on all four are one class, so that repeated figures do not multiply variables. Classes of one
-   company, metric and period form a block (at most a few document kinds on each side).
+   company, metric and period form a block (at most a few document kinds on each side); all distinct amounts of a
+   block are merged in their order, so that the nearest two of any two classes are found exactly.
 3. Rules in a block: agreement of the document kinds and of the values argue for a link, disagreement of the kinds
    against it; a row without a source stands for the only document of the block; a financials class is stated
    by one document (exclusivity); two documents that share one row share the others (transitivity).
@@ -191,17 +192,43 @@ def hinge_admm(n: int, factors: list[tuple[np.ndarray, np.ndarray, np.ndarray, n
     return x
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Best agreement of two sets of amounts in [0, 1]; None where a side has none."""
-    if not len(a) or not len(b):
-        return None
-    top = np.maximum(np.maximum.outer(np.abs(a), np.abs(b)), 1e-9)
-    delta = np.abs(np.subtract.outer(a, b)) / top
-    return float(np.clip(1.0 - delta.min() / 0.1, 0.0, 1.0))
+def agreement(delta: float | None) -> float | None:
+    """Agreement in [0, 1] of two classes whose nearest amounts differ by that share; None where a side has no amount."""
+    return None if delta is None else min(max(1.0 - delta / 0.1, 0.0), 1.0)
+
 
+class _Block:
+    """One block, read by rising amounts: its classes, and the least difference between any two of each side.
 
-def _solve(blocks: list[list[tuple]]) -> pd.DataFrame:
-    """blocks: rows (company, metric, period, side, kind, nearness, amounts) each."""
+    The difference is a share of the larger amount. For one amount it grows with the distance among amounts of its sign,
+    and is at least 1 for others, so that of all pairs only neighbours in the order of the amounts count; the last amount
+    of each class is all that is kept, however many there are.
+    """
+
+    def __init__(self, key: tuple[str, str, str]) -> None:
+        self.key = key
+        self.nearness: dict[tuple[str, str], float] = {}
+        self.last: dict[tuple[str, str], float] = {}
+        self.delta: dict[tuple[str, str], float] = {}
+
+    def add(self, side: str, kind: str, nearness: float, amount: float | None) -> None:
+        own = side, kind
+        self.nearness[own] = max(nearness, self.nearness.get(own, 0.0))
+        if amount is None or amount != amount:
+            return
+        for (other, its_kind), before in self.last.items():
+            if other != side:
+                pair = (kind, its_kind) if side == "e" else (its_kind, kind)
+                delta = 0.0 if amount == before else abs(amount - before) / max(abs(amount), abs(before), 1e-9)
+                self.delta[pair] = min(delta, self.delta.get(pair, delta))
+        self.last[own] = amount
+
+    def side(self, name: str) -> list[tuple[str, float]]:
+        """(kind, nearness) of its classes."""
+        return sorted((kind, near) for (side, kind), near in self.nearness.items() if side == name)
+
+
+def _solve(blocks: list[_Block]) -> pd.DataFrame:
     rows, by_arity = [], {}
 
     def rule(weight: float, terms: list[tuple[int, float]], const: float) -> None:
@@ -211,53 +238,54 @@ def _solve(blocks: list[list[tuple]]) -> pd.DataFrame:
             store.append(item)
 
     for block in blocks:
-        left = [r for r in block if r[3] == "e"]
-        right = [r for r in block if r[3] == "f"]
-        kinds = {r[4] for r in left} | {r[4] for r in right if r[4]}
+        left, right = block.side("e"), block.side("f")
+        stated = {kind for kind, _ in right}
+        kinds = {kind for kind, _ in left} | (stated - {""})
         at = {}
-        for e in left:
-            for f in right:
-                v = at[e[4], f[4]] = len(rows)
-                rows.append([*e[:3], e[4], f[4]])
-                value = alike(e[6], f[6])
-                if f[4]:
-                    source = e[5] if e[4] == f[4] else 0.0
+        for e, near in left:
+            for f, _ in right:
+                v = at[e, f] = len(rows)
+                rows.append([*block.key, e, f])
+                value = agreement(block.delta.get((e, f)))
+                if f:
+                    source = near if e == f else 0.0
                 else:
-                    source = e[5] if len(left) == 1 else (0.5 if value is None else 0.75 * value if e[4] not in {r[4] for r in right} else 0.3 * value)
-                    source = e[5] if len(kinds) == 1 else source
+                    source = near if len(left) == 1 else (0.5 if value is None else 0.75 * value if e not in stated else 0.3 * value)
+                    source = near if len(kinds) == 1 else source
                 rule(SOURCE, [(v, -1.0)], source)
                 rule(SOURCE, [(v, 1.0)], -source)
                 if value is not None:
                     rule(VALUE, [(v, -1.0)], min(value, source + 0.2))
                 rule(PRIOR, [(v, 1.0)], 0.0)
-        for f in right:
+        for f, _ in right:
             if len(left) > 1:
-                rule(EXCLUSIVE, [(at[e[4], f[4]], 1.0) for e in left], -1.0)
-        for e in left:
-            for g in left:
-                for f in right:
-                    for h in right:
-                        if e[4] < g[4] and f[4] < h[4]:
-                            rule(TRANSITIVE, [(at[e[4], f[4]], 1.0), (at[e[4], h[4]], 1.0), (at[g[4], f[4]], 1.0), (at[g[4], h[4]], -1.0)], -2.0)
+                rule(EXCLUSIVE, [(at[e, f], 1.0) for e, _ in left], -1.0)
+        for e, _ in left:
+            for g, _ in left:
+                for f, _ in right:
+                    for h, _ in right:
+                        if e < g and f < h:
+                            rule(TRANSITIVE, [(at[e, f], 1.0), (at[e, h], 1.0), (at[g, f], 1.0), (at[g, h], -1.0)], -2.0)
     factors = [(np.array(i), np.array(c, float), np.array(k, float), np.array(w, float)) for i, c, k, w in by_arity.values()]
     x = hinge_admm(len(rows), factors) if rows else np.zeros(0)
     return pd.DataFrame([(*r, float(v)) for r, v in zip(rows, x)], columns=[c.split()[0] for c in LINK.split(", ")])
 
 
 def _linked(frames: Iterator[pd.DataFrame], batch: int = 4000) -> Iterator[pd.DataFrame]:
-    held: list[tuple] = []
-    blocks: list[list[tuple]] = []
+    """Rows (company, metric, period, side, kind, nearness, amount), those of a block together and by rising amounts."""
+    held: _Block | None = None
+    blocks: list[_Block] = []
 
     def close() -> None:
-        if len({r[3] for r in held}) == 2:
-            blocks.append(list(held))
-        held.clear()
+        if held is not None and len({side for side, _ in held.nearness}) == 2:
+            blocks.append(held)
 
     for pdf in frames:
-        for row in pdf.itertuples(index=False, name=None):
-            if held and row[:3] != held[0][:3]:
+        for *key, side, kind, nearness, amount in pdf.itertuples(index=False, name=None):
+            if held is None or tuple(key) != held.key:
                 close()
-            held.append((*row[:6], np.array([a for a in row[6] if a is not None], float)))
+                held = _Block(tuple(key))
+            held.add(side, kind, nearness, amount)
         if len(blocks) >= batch:
             yield _solve(blocks)
             blocks = []
@@ -274,14 +302,10 @@ def link(evidence: DataFrame, financials: DataFrame, threshold: float = 0.5) ->
     e = e.join(resolved, ["stem", "sector"]).select("row_key", "company", "metric", "period", F.col("doc_kind").alias("e_kind"), "nearness", "amount")
     f = f.select("row_key", F.concat_ws("|", "stem", "sector").alias("company"), "metric", "period", F.col("doc_kind").alias("f_kind"), "amount")
     key = ["company", "metric", "period"]
-    classes = (
-        e.groupBy(*key, F.lit("e").alias("side"), F.col("e_kind").alias("kind"))
-        .agg(F.max("nearness").alias("nearness"), F.slice(F.sort_array(F.collect_set(F.round("amount", 4))), 1, 64).alias("amounts"))
-        .unionByName(
-            f.groupBy(*key, F.lit("f").alias("side"), F.col("f_kind").alias("kind"))
-            .agg(F.lit(1.0).alias("nearness"), F.slice(F.sort_array(F.collect_set(F.round("amount", 4))), 1, 64).alias("amounts"))
-        )
-    )
-    links = classes.repartition(*key).sortWithinPartitions(*key, "side", "kind").mapInPandas(_linked, LINK).filter(F.col("confidence") >= threshold)
+    given = e.select(*key, F.lit("e").alias("side"), F.col("e_kind").alias("kind"), "nearness", "amount").unionByName(
+        f.select(*key, F.lit("f").alias("side"), F.col("f_kind").alias("kind"), F.lit(1.0).alias("nearness"), "amount")
+    )
+    amounts = given.groupBy(*key, "side", "kind", F.round("amount", 4).alias("amount")).agg(F.max("nearness").alias("nearness")).select(*key, "side", "kind", "nearness", "amount")
+    links = amounts.repartition(*key).sortWithinPartitions(*key, "amount", "side", "kind").mapInPandas(_linked, LINK).filter(F.col("confidence") >= threshold)
     on_e = links.join(e.select(F.col("row_key").alias("evidence_id"), *key, "e_kind"), [*key, "e_kind"])
     return on_e.join(f.select(F.col("row_key").alias("fin_row_id"), *key, "f_kind"), [*key, "f_kind"]).select("evidence_id", "fin_row_id", "confidence")

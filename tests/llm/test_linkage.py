@@ -38,6 +38,27 @@ def test_empty_and_repeated(spark):
     assert L.link(e.filter(F.lit(False)), f).count() == 0 and L.link(e, f.filter(F.lit(False))).count() == 0
 
 
+def test_many_amounts_of_one_class(spark):
+    """The value that agrees is the largest of a hundred in its class; a null source leaves the link to the value."""
+    many = [(i, "Revenue", f"{i}M", "FY2024", None, "Mardovane_Foods_CIM.pdf") for i in range(1, 101)]
+    other = [(200, "Revenue", "900M", "FY2024", None, "Mardovane_Foods_tax_return.txt")]
+    own = [(11, "mardovane_foods_financials.csv", "X", "Revenue", "FY2024", "100M", None)]
+    assert pairs(spark, many + other, own) == {(i, 11) for i in range(1, 101)}
+
+
+def test_nearest_amounts_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = [(rng.choice("ef"), rng.choice("ab"), 1.0, rng.choice([None, 0.0, round(rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 6), 4)])) for _ in range(rng.randint(1, 30))]
+        block = L._Block(("c", "m", "p"))
+        for r in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0.0)):
+            block.add(*r)
+        for e in "ab":
+            for f in "ab":
+                deltas = [abs(x - y) / max(abs(x), abs(y), 1e-9) for s, k, _, x in rows for t, h, _, y in rows if (s, k, t, h) == ("e", e, "f", f) and x is not None and y is not None]
+                assert L.agreement(block.delta.get((e, f))) == (L.agreement(min(deltas)) if deltas else None)
+
+
 def test_admm_against_grid():
     rng = random.Random(2)
     for _ in range(6):
