@@ -38,17 +38,17 @@ def first_company(answers: DataFrame) -> DataFrame:
     return usable.agg(F.min_by("n", "doc_ord").alias("company_name"))
 
 
-def labelled_figures(chunks: DataFrame) -> DataFrame:
-    """Figures in lines 'Label PERIOD: amount' and in sentences 'Label for PERIOD came to amount' of chunks."""
+def labelled_figures(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Figures in lines 'Label PERIOD: amount' and in sentences 'Label for PERIOD came to amount' of chunks, with their columns ``keep``."""
     period = r"(?:FY ?\d{2,4}|Q[1-4] ?\d{4}|the trailing twelve months|TTM|LTM)"
     amount = r"[$€£]\d[\d,]*(?:\.\d+)?(?: million| billion|K|M|m|bn)?|\d+(?:\.\d+)?(?:%| percent)"
     line = rf"(?m)^\s*([A-Z][A-Za-z ]{{1,40}}?)(?: exiting)? ({period})(?: \(restated\))?: ({amount})\s*$"
     sentence = rf"([A-Z][A-Za-z ]{{1,40}}?) for ({period}) came to ({amount})"
     out = None
     for pattern in (line, sentence):
-        found = chunks.select("doc_name", "page", "pos", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("source_quote"))
+        found = chunks.select(*keep, "doc_name", "page", "pos", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("source_quote"))
         part = found.select(
-            "doc_name", "page", "pos", "source_quote",
+            *keep, "doc_name", "page", "pos", "source_quote",
             *[F.trim(F.regexp_extract("source_quote", pattern, k)).alias(c) for k, c in ((1, "metric_name"), (2, "fiscal_year"), (3, "value"))],
         )
         out = part if out is None else out.unionByName(part)

@@ -64,18 +64,18 @@ def expand_query(query: str) -> str:
     return " ".join(out)
 
 
-def hash_weights(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
-    """(key, slot, w): hashed signed bag of words, of unit length, without the zeros.
+def hash_weights(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, key, slot, w): hashed signed bag of words, of unit length, without the zeros.
 
     Without tokens the stripped text, or 'empty', is the token; where all weights cancel, slot 0 has weight 1.
     """
     stripped = F.trim(F.coalesce(F.col(text), F.lit("")))
-    named = docs.select(F.col(key).alias("key"), stripped.alias("stripped"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("found"))
+    named = docs.select(*scope, F.col(key).alias("key"), stripped.alias("stripped"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("found"))
     terms = F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.when(F.col("stripped") == "", "empty").otherwise(F.col("stripped"))))
-    slots = named.select("key", F.explode(terms).alias("term")).groupBy("key", X.hash_slot(F.col("term"), dim).alias("slot")).agg(F.sum(X.hash_sign(F.col("term"))).alias("w"))
-    packed = slots.groupBy("key").agg(F.collect_list(F.when(F.col("w") != 0, F.struct("slot", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    slots = named.select(*scope, "key", F.explode(terms).alias("term")).groupBy(*scope, "key", X.hash_slot(F.col("term"), dim).alias("slot")).agg(F.sum(X.hash_sign(F.col("term"))).alias("w"))
+    packed = slots.groupBy(*scope, "key").agg(F.collect_list(F.when(F.col("w") != 0, F.struct("slot", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     whole = F.when(F.size("v") > 0, F.col("v")).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(1.0).alias("w"))))
-    return packed.select("key", F.inline(whole), F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm")).select("key", "slot", (F.col("w") / F.col("norm")).alias("w"))
+    return packed.select(*scope, "key", F.inline(whole), F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm")).select(*scope, "key", "slot", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
@@ -92,17 +92,18 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embe
     return packed.mapInPandas(spread, f"key {dict(packed.dtypes)['key']}, embedding array<double>")
 
 
-def sparse_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, dim: int = DEFAULT.embed_dim) -> DataFrame:
+def sparse_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, dim: int = DEFAULT.embed_dim, scope: tuple[str, ...] = ()) -> DataFrame:
     """(qid, key, score, rank) by cosine of the hash embeddings, without making the vectors.
 
     Only slots that a query has meet (an equi-join, then a sum). Documents which share no slot score 0; they are looked
     at only for queries with fewer than k positive scores.
     """
-    asked = hash_weights(queries, "qid", "query", dim).select(F.col("key").alias("qid"), "slot", F.col("w").alias("qw"))
-    scored = hash_weights(docs, key, text, dim).join(asked, "slot").groupBy("qid", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    asked = hash_weights(queries, "qid", "query", dim, scope).select(*scope, F.col("key").alias("qid"), "slot", F.col("w").alias("qw"))
+    scored = hash_weights(docs, key, text, dim, scope).join(asked, [*scope, "slot"]).groupBy("qid", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
     full = scored.filter("score > 0").groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    needy = queries.select("qid").join(full.select("qid"), "qid", "left_anti")
-    zeros = docs.select(F.col(key).alias("key")).crossJoin(needy).join(scored.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
+    needy = queries.select(*scope, "qid").join(full.select("qid"), "qid", "left_anti")
+    every = docs.select(*scope, F.col(key).alias("key"))
+    zeros = (every.join(needy, list(scope)) if scope else every.crossJoin(needy)).join(scored.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", F.lit(0.0).alias("score"))
     return lexical.top_k(scored.unionByName(zeros), k)
 
 
@@ -188,11 +189,11 @@ def rrf(rankings: list[DataFrame], k: int = DEFAULT.rrf_k) -> DataFrame:
     return union.groupBy("qid", "key").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("score"), F.min(F.struct("source", "rank")).alias("first"))
 
 
-def hybrid(docs: DataFrame, key: str, text: str, queries: DataFrame, top_k: int = 5, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(qid, key, score, rank): dense and lexical candidates fused; queries: qid, query (a bounded list)."""
+def hybrid(docs: DataFrame, key: str, text: str, queries: DataFrame, top_k: int = 5, config: EngineConfig = DEFAULT, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, key, score, rank): dense and lexical candidates fused; queries: qid, query (a bounded list for each scope)."""
     pool = max(top_k, config.rerank_candidates)
-    dense = sparse_top_k(docs, key, text, queries, pool, config.embed_dim)
-    sparse = lexical.top_k(lexical.positive_or_all(lexical.bm25(docs, key, text, queries, config)), pool)
+    dense = sparse_top_k(docs, key, text, queries, pool, config.embed_dim, scope)
+    sparse = lexical.top_k(lexical.positive_or_all(lexical.bm25(docs, key, text, queries, config, scope)), pool)
     fused = rrf([dense, sparse], config.rrf_k)
     by = W.partitionBy("qid").orderBy(F.round("score", 12).desc(), F.col("first"), F.col("key"))
     return fused.withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < top_k).select("qid", "key", "score", "rank")

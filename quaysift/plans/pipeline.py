@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaysift.config import DEFAULT, EngineConfig
@@ -33,51 +33,68 @@ def evidence_of(hits: DataFrame, chunks: DataFrame, config: EngineConfig = DEFAU
     return joined.select(F.col("qid").alias("section"), "rank", F.element_at(F.split("doc_name", "::"), 1).alias("doc"), F.greatest("page", F.lit(1)).alias("page"), F.substring("text", 1, config.evidence_chars).alias("quote"))
 
 
+def section_key(title: str | Column) -> Column:
+    """The key of a run's section."""
+    return F.struct("run_id", (F.lit(title) if isinstance(title, str) else title).alias("title"))
+
+
 def run_sections(chunks: DataFrame, titles: list[str], generator: Generator = extractive, judge: grounding.Judge | None = None, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(claims, evidence) of all sections after at most max_agent_rounds + 1 rounds.
+    """(claims, evidence) of all sections of all runs after at most max_agent_rounds + 1 rounds; section: (run_id, title).
 
-    A round handles all open sections at once; only the list of titles and which of them are open come to the driver.
+    A round handles all open sections at once, each among the chunks of its run; the driver learns only whether any is open.
     """
     spark = chunks.sparkSession
-    queries = {t: retrieval.expand_query(t) for t in titles}
-    evidence, settled = None, {}
+    first = spark.createDataFrame([(t, retrieval.expand_query(t)) for t in titles], "title string, query string")
+    asked = chunks.select("run_id").distinct().crossJoin(F.broadcast(first)).select("run_id", section_key(F.col("title")).alias("qid"), "query")
+    asked = cut_lineage(asked)
+    evidence = claims = None
     for round_no in range(config.max_agent_rounds + 1):
-        asked = spark.createDataFrame(list(queries.items()), "qid string, query string")
-        hits = retrieval.hybrid(chunks, "key", "text", asked, config.top_k, config)
+        open_chunks = chunks.join(asked.select("run_id").distinct(), "run_id", "left_semi") if round_no else chunks
+        open_chunks = open_chunks.repartition("key")  # so that the sums by chunk need no shuffle of terms and slots
+        hits = retrieval.hybrid(open_chunks, "key", "text", asked, config.top_k, config, ("run_id",))
         found = evidence_of(hits, chunks, config).withColumn("round", F.lit(round_no))
         pool = found if evidence is None else evidence.select(*found.columns).unionByName(found)
         evidence = cut_lineage(grounding.dedupe_evidence(pool, ["round", "rank", "doc", "page"]))
-        open_evidence = evidence.filter(F.col("section").isin(*queries))
-        claims = grounding.extract_claims(generator(open_evidence), open_evidence)
-        verdicts = judge(claims, open_evidence) if judge else None
-        verified = cut_lineage(grounding.verify(claims, open_evidence, verdicts))
-        repair = {r.section for r in grounding.summary(verified).filter("needs_repair").select("section").collect()}
+        open_evidence = evidence.join(asked.select(F.col("qid").alias("section")), "section", "left_semi")
+        drawn = grounding.extract_claims(generator(open_evidence), open_evidence)
+        verdicts = judge(drawn, open_evidence) if judge else None
+        verified = cut_lineage(grounding.verify(drawn, open_evidence, verdicts))
+        repair = grounding.summary(verified).filter("needs_repair").select("section")
         last = round_no == config.max_agent_rounds
-        for t in list(queries):
-            if t not in repair or last:
-                settled[t] = verified.filter(F.col("section") == t)
-                queries.pop(t)
-        if not queries:
+        settled = verified if last else verified.join(repair, "section", "left_anti")
+        claims = settled if claims is None else claims.unionByName(settled)
+        if last:
+            break
+        gaps = repair.join(grounding.gap_queries(verified), "section", "left")
+        query = F.substring(F.concat("section.title", F.lit(": "), F.coalesce("gap_query", F.lit(""))), 1, 500)
+        asked = cut_lineage(gaps.select("section.run_id", F.col("section").alias("qid"), query.alias("query")))
+        if asked.isEmpty():
             break
-        gaps = {r.section: r.gap_query for r in grounding.gap_queries(verified).filter(F.col("section").isin(*queries)).collect()}
-        queries = {t: f"{t}: {gaps.get(t, '')}"[:500] for t in queries}
-    claims = None
-    for part in settled.values():
-        claims = part if claims is None else claims.unionByName(part)
     return claims, evidence
 
 
+def index_of(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Index chunks with a key of their own each: its order is that of run, document and place, whatever the rows' number.
+
+    The keys are fixed by the checkpoint; equal keys cannot arise even from repeated deliveries of a chunk.
+    """
+    order = ["run_id", "doc_name", "pos", "chunk_id", "sub_pos", "page", "is_table", "text"]
+    keyed = chunking.expand(chunks, config).orderBy(*order).withColumn("key", F.monotonically_increasing_id())
+    return cut_lineage(keyed.select("key", "run_id", "doc_name", "page", "chunk_id", "text", "is_table"))
+
+
 def run(chunks: DataFrame, titles: list[str], config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
-    """All tables of a memo from chunks of one run (run_id, doc_name, page, chunk_id, pos, text, is_table)."""
-    index = chunking.expand(chunks, config).withColumn("key", F.col("pos") * 1000 + F.col("sub_pos"))
-    index = cut_lineage(index.select("key", "run_id", "doc_name", "page", "chunk_id", "text", "is_table"))
+    """All tables of the memos, one memo for each run, from chunks (run_id, doc_name, page, chunk_id, pos, text, is_table)."""
+    chunks = chunks.withColumn("run_id", F.coalesce("run_id", F.lit("")))
+    index = index_of(chunks, config)
     claims, evidence = run_sections(index, titles, config=config)
-    order = chunks.sparkSession.createDataFrame([(t, i) for i, t in enumerate(titles)], "section string, section_ord int")
+    named = chunks.sparkSession.createDataFrame([(t, i) for i, t in enumerate(titles)], "title string, section_ord int")
+    order = chunks.select("run_id").distinct().crossJoin(F.broadcast(named)).select(section_key(F.col("title")).alias("section"), "section_ord")
     summary = grounding.summary(claims, config.confidence_threshold)
     sections = order.join(summary, "section", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.3)))
-    figures = financial.labelled_figures(chunks).withColumn("evidence_id", F.xxhash64("doc_name", "page", "source_quote")).withColumn("run_id", F.lit("run")).withColumn("value_kind", F.lit("str"))
+    figures = financial.labelled_figures(chunks, ("run_id",)).withColumn("evidence_id", F.xxhash64("run_id", "doc_name", "page", "source_quote")).withColumn("value_kind", F.lit("str"))
     flags = reconcile.flags(reconcile.worst_pairs(reconcile.normalised(figures), config.relative_tolerance))
     figure_section = next((t for t in titles if any(w in t.lower() for w in ("financial", "metric", "kpi", "revenue", "ebitda", "earnings", "performance"))), titles[0])
-    in_memo = figures.select(F.lit(figure_section).alias("section"), F.lit(titles.index(figure_section)).alias("section_ord"), F.col("pos").cast("int").alias("fig_ord"), "metric_name", "value", "fiscal_year", "source_quote", F.col("page_number" if "page_number" in figures.columns else "page").alias("page"), F.col("doc_name").alias("doc"))
+    in_memo = figures.select(section_key(figure_section).alias("section"), F.lit(titles.index(figure_section)).alias("section_ord"), F.col("pos").cast("int").alias("fig_ord"), "metric_name", "value", "fiscal_year", "source_quote", F.col("page_number" if "page_number" in figures.columns else "page").alias("page"), F.col("doc_name").alias("doc"))
     book = appendix.build(claims.join(order, "section"), evidence, in_memo)
     return {"index": index, "claims": claims, "evidence": evidence, "sections": sections, "figures": figures, "flags": flags, "appendix": book, "citations": grounding.citations(claims, evidence)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quaysift.functions import normalize as N
 from quaysift.functions import text as X
 from quaysift.operators import appendix, chunking, financial, grounding, lexical, quality, reconcile, retrieval, review
+from quaysift.plans import pipeline
 from quaysift.session import table
 from quaysift.streaming import progress
 
@@ -288,6 +289,21 @@ def cost_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return quality.cost_by_name(quality.cost_events(events))
 
 
+# ---- the whole pipeline ------------------------------------------------------------------------------------------
+
+
+def memo_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The memos of all runs: each section's verdict, with the number of rows that the other tables of the memo hold for it."""
+    out = pipeline.run(table(spark, sf, "doc_chunks"), list(SECTIONS))
+    counted = out["sections"].select("section", "section_ord", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "n_supported")], F.round("confidence", 6).alias("confidence"))
+    for name in ("evidence", "citations", "appendix"):
+        n = out[name].groupBy("section").agg(F.count("*").alias(f"n_{name}"))
+        counted = counted.join(n, "section", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    flags = out["flags"].groupBy("run_id").agg(F.count("*").alias("n_flags"))
+    rows = counted.select("section.run_id", F.col("section.title").alias("section_title"), *counted.columns[1:])
+    return rows.join(flags, "run_id", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
+
+
 # ---- jobs --------------------------------------------------------------------------------------------------------
 
 
@@ -323,6 +339,6 @@ QUERIES = {
         formatted_values, reconcile_groups, reconcile_worst, reconcile_flags, reconcile_orders, labelled_figures, chunk_tokens, term_idf, bm25_topk,
         dense_topk, hash_embeddings, hybrid_topk, char_windows, index_chunks, deduped_evidence, claim_evidence, local_verdicts, verification_summary,
         supported_rate_by_run, gap_queries, citations, bracketed_narratives, appendix_rows, review_state, review_gate, export_versions, claim_rates,
-        flag_scores, cost_by_name, job_states, unseen_events, error_classes, progress_stream,
+        flag_scores, cost_by_name, memo_pipeline, job_states, unseen_events, error_classes, progress_stream,
     )
 }

@@ -101,3 +101,23 @@ def test_pipeline(spark):
     out = pipeline.run(chunks, ["Key Financial Metrics", "Key Risks"], EngineConfig(max_agent_rounds=1))
     assert out["sections"].count() == 2 and out["claims"].filter("status = 'supported'").count() >= 2
     assert out["flags"].count() == 1 and out["appendix"].count() > 2 and out["citations"].count() >= 2
+
+
+def test_pipeline_keeps_chunks_apart(spark):
+    """Documents that share positions, runs that share documents, a repeated delivery, and a chunk of over 1,000 pieces."""
+    long = " ".join(f"Filler number {i} of the annex says nothing of note and goes on for the sake of its length." for i in range(9000))
+    rows = [
+        ("r", "cim.txt", 1, "c0", 0, "Revenue for FY2024 came to $52.9M in the audited year.", False), ("r", "tax.txt", 1, "c0", 0, "Key risks are customer concentration and covenant headroom.", False),
+        ("r", "tax.txt", 1, "c0", 0, "Key risks are customer concentration and covenant headroom.", False), ("r", "long.txt", 3, "c0", 0, long, False), ("r", "long.txt", 4, "c1", 1, "Growth of market demand.", False),
+        ("s", "cim.txt", 1, "c0", 0, "Revenue for FY2024 came to $48.4 million after audit.", False), ("t", "none.txt", 1, "c0", 0, " ", False),
+    ]
+    chunks = spark.createDataFrame(rows, "run_id string, doc_name string, page int, chunk_id string, pos bigint, text string, is_table boolean")
+    out = pipeline.run(chunks, ["Key Financial Metrics", "Key Risks"], EngineConfig(max_agent_rounds=1))
+    index = out["index"].collect()
+    assert len({r.key for r in index}) == len(index) > 1000
+    held = {(r.run_id, r.doc_name, r.page, r.text) for r in index}
+    evidence = out["evidence"].collect()
+    assert {(r.section.run_id, r.doc, r.page, r.quote) for r in evidence} <= held and {r.section.run_id for r in evidence} == {"r", "s"}
+    quotes = lambda run, title: {r.quote for r in evidence if (r.section.run_id, r.section.title) == (run, title)}
+    assert rows[0][5] in quotes("r", "Key Financial Metrics") and rows[1][5] in quotes("r", "Key Risks") and quotes("s", "Key Financial Metrics") == {rows[5][5]}
+    assert out["sections"].count() == 6 and out["flags"].count() == 0
