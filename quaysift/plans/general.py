@@ -21,4 +21,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.converted(p5_decoded(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p5_found": p5_found, "p5_decoded": p5_decoded}

@@ -3,6 +3,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from quaysift.functions import quantities as Q
 from quaysift.operators import units
 
 FE = "evidence_id bigint, run_id string, metric_name string, value string, fiscal_year string, source_quote string, doc_name string, tbl string"
@@ -55,3 +56,16 @@ def test_viterbi_keeps_statements_and_smooths():
 @pytest.mark.parametrize("kind", list(units.Q.UNITS))
 def test_common_unit_is_one(kind):
     assert units.Q.UNITS[kind][units.Q.COMMON[kind]] == 1
+
+
+def test_decoded_is_the_stated_unit_or_the_default():
+    """What the README says of the model, and the operator's full result among the queries."""
+    import __spark_entry__ as entry
+
+    assert "p5_decoded" in entry.queries()
+    for kind, common in Q.COMMON.items():
+        named = list(Q.UNITS[kind])
+        numbers = [Fraction(10) ** k for k in (2, 9, 2, 12, 3, 0, 8, 5)]
+        stated = [named[-1], None, named[0], None, None, named[-1], None, named[0]]
+        plain = [u or common for u in stated]
+        assert units.viterbi(kind, numbers, stated) == plain and units.viterbi(kind, numbers[::-1], stated[::-1]) == plain[::-1]
