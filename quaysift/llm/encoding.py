@@ -4,7 +4,8 @@ Method: best-first search over texts. A state is a text; an edge encodes it in t
 decoded with and decodes it in the one it was written in, or undoes an escape. Visited states are hashed. A
 character-plausibility cost (see ``cost``) guides the search, and the cheapest text reached is the restoration.
 
-The search runs on single words with characters beyond ASCII, since a text may be garbled in places only; what a word
+The search runs on single words with characters beyond ASCII, or with escapes (entities, backslash-u, percent) of such
+characters, since a text may be garbled in places only; what a word
 alone does not decide is searched again as a run of neighbouring words, and the conversions found in a text are
 offered to its remaining words. Words are cached with their digits normalised.
 
@@ -12,7 +13,8 @@ A record counts as garbled if a conversion makes it more plausible by a clear ma
 wrong decoding leaves behind (replacement characters, C1 controls). Unusual but correct characters, look-alike
 letters of another script and invisible characters are no case.
 
-Defined cases: null texts and texts in ASCII come out as not garbled and unchanged; text of any length is
+Defined cases: null texts and texts in ASCII without such escapes come out as not garbled and unchanged; an escape of a
+correct character is no garbling and stays; text of any length is
 searched whole; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -45,6 +47,10 @@ _EUROPEAN = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüý
 MARGIN, SUSPECT = 1.9, 1.0
 WORD = re.compile(r"[^ \n\r\t]*[^\x00-\x7f \n\r\t][^ \n\r\t]*")
 
+#: One escape as a whole: an entity with its semicolon, a code unit, or percent bytes.
+ESCAPE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|\\u[0-9a-fA-F]{4}|(?:%[0-9A-Fa-f]{2})+")
+ESCAPED_WORD = re.compile(rf"[^ \n\r\t]*?(?:{ESCAPE.pattern})[^ \n\r\t]*")
+
 
 @lru_cache(maxsize=None)
 def _bytes_of(encoding: str) -> dict[str, int]:
@@ -214,13 +220,38 @@ def _dense(word: str) -> int:
     return accented if accented > 0.6 * len(latin) else 0
 
 
+def _one_escape(m: re.Match) -> str:
+    given = m[0]
+    if given[0] == "&":
+        return html.unescape(given)
+    return chr(int(given[2:], 16)) if given[0] == "\\" else bytes.fromhex(given.replace("%", "")).decode("utf-8", "replace")
+
+
+def plain_of(word: str) -> str:
+    """The word without its escapes, also escaped ones."""
+    while (out := ESCAPE.sub(_one_escape, word)) != word:
+        word = out
+    return word
+
+
+def _escaped_words(text: str) -> dict[str, str]:
+    """Words in ASCII that are escapes of others -> those."""
+    if not ESCAPE.search(text):
+        return {}
+    words = {w: plain_of(w) for w in dict.fromkeys(ESCAPED_WORD.findall(text)) if w.isascii()}
+    return {w: p for w, p in words.items() if not p.isascii()}
+
+
 def _normal(word: str) -> str:
     return re.sub(r"\d+", "0", word)
 
 
 def restore(text: str | None) -> tuple[str | None, bool, bool, list[str]]:
     """(text restored as far as possible, garbled, wholly restored, conversions)."""
-    if text is None or text.isascii():
+    if text is None:
+        return text, False, True, []
+    escaped = _escaped_words(text)
+    if text.isascii() and not escaped:
         return text, False, True, []
     paths: dict[tuple[str, ...], int] = {}
     changes: dict[str, str] = {}
@@ -237,6 +268,15 @@ def restore(text: str | None) -> tuple[str | None, bool, bool, list[str]]:
             paths[path] = paths.get(path, 0) + 1
         else:
             left.append(word)
+    for word, plain in escaped.items():
+        core = _normal(plain)
+        if (core.count("0") and cost(core) < 0.5) or cost(core) < 0.35:
+            continue
+        _, path = _restored_word(core)
+        fixed = _follow(plain, path) if path else plain
+        if fixed is not None and fixed != plain:
+            changes[word] = fixed
+            paths[("unescape", *path)] = paths.get(("unescape", *path), 0) + 1
     # runs of neighbouring words decide together, between single-byte encodings
     residue = [w for w in left if cost(_normal(w)) >= SUSPECT]
     if residue:
@@ -264,7 +304,17 @@ def restore(text: str | None) -> tuple[str | None, bool, bool, list[str]]:
                 if fixed is not None and fixed != word and cost(_normal(fixed)) <= min(now, cost(_normal(word))) + 0.15:
                     changes[word] = fixed
                     break
+        for word, plain in escaped.items():
+            if word in changes or cost(_normal(plain)) < 0.04:
+                continue
+            for p in known:
+                fixed = _follow(plain, p)
+                if fixed is not None and fixed != plain and cost(_normal(fixed)) <= cost(_normal(plain)) + 0.15:
+                    changes[word] = fixed
+                    break
     out = WORD.sub(lambda m: changes.get(m[0], m[0]), text) if changes else text
+    if escaped and changes:
+        out = ESCAPED_WORD.sub(lambda m: changes.get(m[0], m[0]), out)
     broken = any(c == "�" or "\x80" <= c < "\xa0" for c in out)
     garbled = bool(paths) or any(c == "�" or "\x80" <= c < "\xa0" for c in text)
     whole = not broken and all(cost(_normal(w)) < SUSPECT for w in WORD.findall(out)) if garbled else True
@@ -304,6 +354,6 @@ def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     """The garbled rows: key, restored text, whether all of it could be restored, and the conversions found."""
-    beyond = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+    beyond = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(rf"[^\x00-\x7f]|{ESCAPE.pattern}"))
     out = spread(beyond).mapInPandas(_repaired, "key bigint, restored string, whole boolean, conversions array<string>")
     return out.withColumnRenamed("key", key)

@@ -219,3 +219,19 @@ def test_gradient():
         down[name][at] -= 1e-2
         slope = (T.loss_and_gradient(up, x, y)[0] - T.loss_and_gradient(down, x, y)[0]) / 2e-2
         assert abs(slope - g[name][at]) < 0.05 * max(1.0, abs(slope))
+
+
+@pytest.mark.parametrize("garbled, want", [
+    ("the caf&Atilde;&copy; by the river", "the café by the river"), ("the caf\\u00c3\\u00a9 by the river", "the café by the river"),
+    ("the caf%C3%83%C2%A9 by the river", "the café by the river"), ("the caf&amp;Atilde;&amp;copy; by the river", "the café by the river"),
+    ("Müller met in the caf&Atilde;&copy;", "Müller met in the café"),
+])
+def test_escaped_garbling(spark, garbled, want):
+    assert encoding.restore(garbled)[:3] == (want, True, True)
+    df = spark.createDataFrame([(1, garbled)], "key bigint, restored string")
+    assert [(r.key, r.restored) for r in encoding.repair(df, "key", "restored").collect()] == [(1, want)]
+
+
+@pytest.mark.parametrize("text", ["the caf&eacute; by the river", "see /caf%C3%A9?a=1&section=2&copy=3", "R&D; 100% of 20%25 and AT&amp;T", "a\\u00e9b &mdash; &nbsp;", "50%E9"])
+def test_correct_escapes_stay(text):
+    assert encoding.restore(text) == (text, False, True, [])
