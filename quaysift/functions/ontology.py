@@ -146,6 +146,27 @@ def resolve_period(text: str | None) -> str | None:
     return None
 
 
+def period_of(fiscal_year: str | None, quote: str | None, metric_name: str | None) -> str | None:
+    """The stated period; where none is stated, the one in the sentence of the quotation that names the metric."""
+    period = resolve_period(fiscal_year)
+    if period or (fiscal_year or "").strip() or not quote:
+        return period
+    name = (metric_name or "").strip()
+    sentences = re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n+", quote)
+    named = [s for s in sentences if name and name in s] or sentences
+    found = [m.group(0) for s in named for m in PERIOD_IN_TEXT.finditer(s)]
+    found.sort(key=lambda text: re.fullmatch(r"\d{4}", text) is not None)  # a bare year counts last
+    return next((p for p in map(resolve_period, found) if p), None)
+
+
+def period_order(period: str | None) -> int:
+    """A resolved period's place in time: years of eight steps, a quarter before its year's end; trailing and unknown ones last."""
+    m = re.fullmatch(r"(?:Q([1-4]))?FY(\d{4})", period or "")
+    if m:
+        return 8 * int(m[2]) + (2 * int(m[1]) - 2 if m[1] else 7)
+    return 8 * 10000 + (0 if period == "TTM" else 1)
+
+
 @lru_cache(maxsize=100_000)
 def resolve_doc_kind(text: str | None) -> str | None:
     """Kind of document that a file name or a source column names."""

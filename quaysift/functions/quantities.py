@@ -214,29 +214,50 @@ def unit_in(text: str | None, kind: str, money_only_scale: bool = False) -> str
 
 
 _HEADER = re.compile(r"(?:\ball (?:figures|amounts|values|numbers)\s+(?:are\s+)?|\btable\s+)([^.|\n]{1,40}?)\s*(?:[.|\n]|$)", re.I)
+_BRACKET = re.compile(r"[\(\[]([^()\[\]\n]{1,60})[\)\]]")
+_BEHIND = re.compile(r"\s?(%|‰|['’]000\b|[^\W\d_][\w²³.-]*(?: (?!\w+ \w+ \w)[^\W\d_]+){0,2})")
+
+
+def _places(value: str | None, quote: str) -> list[tuple[int, int]]:
+    """(start, end) of a value in a quotation, as a number of its own."""
+    v, out, start = (value or "").strip(), [], 0
+    while v and (at := quote.find(v, start)) >= 0:
+        start = at + len(v)
+        inside = re.search(r"\d[.,' ]?$", quote[:at][-2:]) if v[:1].isdigit() else None
+        if not inside and not re.match(r"[.,']?\d", quote[start : start + 2]):
+            out.append((at, start))
+    return out
 
 
 @lru_cache(maxsize=200_000)
-def unit_in_quote(quote: str | None, value: str | None, kind: str) -> str | None:
-    """The unit a quotation states for its figure: in a header over the figures, or in brackets behind the value."""
+def units_in_quote(quote: str | None, value: str | None, metric_name: str | None, kind: str) -> tuple[tuple[str, bool], ...]:
+    """(unit, tied) for every unit of the kind that a quotation states.
+
+    A unit is tied to the figure if it stands in a header over all figures, in brackets between the metric's name or
+    the beginning of the clause and the figure, or directly behind the figure, with or without brackets; any other
+    mention is loose (it may belong to another figure, or to the same figure in other words).
+    """
     if not quote:
-        return None
+        return ()
+    tied: list[str] = []
     for header in _HEADER.findall(quote):
-        unit = unit_in(header, kind)
-        if unit:
-            return unit
-    v = (value or "").strip()
-    start = 0
-    while v and (at := quote.find(v, start)) >= 0:
-        start = at + len(v)
-        if at and quote[at - 1].isdigit() or quote[start : start + 1].isdigit():
-            continue
-        m = re.match(r"\s*[\(\[]([^\)\]]{1,40})[\)\]]", quote[start:])
-        if m:
-            unit = unit_in(m[1], kind)
-            if unit:
-                return unit
-    return None
+        tied.append(unit_in(header, kind) or "")
+    brackets = [(m.start(), m.end(), unit_in(m[1], kind)) for m in _BRACKET.finditer(quote)]
+    for at, end in _places(value, quote):
+        clause = max(quote.rfind("\n", 0, at), max((m.end() for m in re.finditer(r"[.!?;]\s", quote[:at])), default=0))
+        tied += [unit or "" for a, b, unit in brackets if (clause <= a < at and not re.search(r"\d[\d.,]*\s*$", quote[clause:a])) or re.fullmatch(r"\s*", quote[end:a] if a >= end else "x")]
+        behind = _BEHIND.match(quote, end)
+        if behind:
+            tied.append(unit_in(f"0 {behind[1]}" if behind[1][0] != "%" else f"0{behind[1]}", kind) or "")
+    name = (metric_name or "").strip()
+    at = quote.find(name) if name else -1
+    if at >= 0:
+        tied += [unit or "" for a, _, unit in brackets if a >= at + len(name) and not quote[at + len(name) : a].strip()]
+    bare = re.sub(r"(?<=\d)[\d.,'’]*\d", "", quote)  # grouped thousands are no mark
+    out = dict.fromkeys(((unit, True) for unit in tied if unit))
+    loose = [unit for unit, pattern in (_COMPILED["scale"] if kind in ("money", "count") else _COMPILED[kind]) if pattern.search(bare)]
+    out |= dict.fromkeys((unit, False) for unit in loose if (unit, True) not in out)
+    return tuple(out)
 
 
 def half_away(x: Fraction) -> int:

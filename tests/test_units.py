@@ -1,3 +1,5 @@
+import itertools
+import random
 from fractions import Fraction
 
 import pytest
@@ -34,38 +36,78 @@ def test_files_and_sources(spark):
     assert got == {k: w for k, *_, w in rows if w is not None}
 
 
-def test_hot_series_in_blocks_and_repeats(spark):
-    rows = [("Revenue", f"{k}M", None, None) for k in range(1, 60)]
+# The forms in which quotations state a unit, for a figure of 40.19 whose metric is Net Income.
+FORMS = [
+    ("net income (in millions of dollars), 2024Q1: 40.19", "million"), ("All figures $ thousands. Net Income FY2024 40.19", "thousand"), ("Table in billions | Net Income | FY24 | 40.19", "billion"),
+    ("Net Income for FY24 was 40.19 (USD mm).", "million"), ("Net Income (USD mm) | FY24 | 40.19", "million"), ("Net Income came to 40.19 million in FY24.", "million"), ("In FY24, Net Income came to 40.19, as restated.", "one"),
+    ("Fees cost $1.5M. Net Income FY24: 40.19", "one"), ("Net Income was $140.19 million.", "one"), ("Net Income FY24: 40.19\nThe draft (in thousands) is old.", "one"), ("Net Income FY24: 40.19 against 240,000", "one"),
+]
+
+
+@pytest.mark.parametrize("quote,unit", FORMS)
+def test_forms_of_quotations(quote, unit):
+    name = "net income" if quote.startswith("net") else "Net Income"
+    assert units.observe(name, "40.19", quote, None, None)[3][0][0] == unit
+
+
+def test_repeats(spark):
+    rows = [("Revenue", f"{k}M", None, None) for k in range(1, 60)] + [("Revenue", "60", "All figures $m. Revenue 60", None)]
     records = units.financial_evidence_records(evidence(spark, rows))
-    records = records.unionByName(records)
-    one, many = units.common_units(records), units.common_units(records, hot=10)
-    key = ["row_key", "unit", "common_value"]
-    assert sorted(one.select(*key).collect()) == sorted(many.select(*key).collect()) and one.count() == 118
-    assert units.converted(one).count() == 59
+    out = units.common_units(records.unionByName(records))
+    assert out.count() == 120 and units.converted(out).count() == 60
 
 
 def test_empty(spark):
     assert units.common_units(units.financial_evidence_records(evidence(spark, CASES).filter(F.lit(False)))).count() == 0
 
 
-def test_viterbi_keeps_statements_and_smooths():
-    assert units.viterbi("money", [Fraction(5), Fraction(5), Fraction(5)], ["million", None, "million"]) == ["million", "one", "million"]
-    assert units.emissions("rate", Fraction(1, 2), None).argmax() == 3
+def level_case(spark, value, quote, others):
+    """The unit decoded for a figure of FY2023 in a series with figures before and after."""
+    rows = [(k, "r", "Revenue", v, f"FY20{20 + k}", None, "A_CIM.txt", "x") for k, v in others] + [(3, "r", "Revenue", value, "FY2023", quote, "A_CIM.txt", "x")]
+    out = units.common_units(units.financial_evidence_records(spark.createDataFrame(rows, FE)))
+    return out.filter("row_key = 3").first().unit
+
+
+def test_the_level_decides(spark, monkeypatch):
+    """A loose mention is taken where the level asks for it and not where it doesn't; without transitions it never is."""
+    loose = "Revenue rose, and fees fell by a million. Revenue FY2023: 52.9"
+    millions, pieces = [(2, "$51.0M"), (4, "$53.5M")], [(2, "$51"), (4, "$53")]
+    assert level_case(spark, "52.9", loose, millions) == "million" and level_case(spark, "52.9", loose, pieces) == "one"
+    tied = "All figures in thousands. Revenue FY2023: 52900000"
+    assert level_case(spark, "52900000", tied, millions) == "one" and level_case(spark, "52900", tied, millions) == "thousand"
+    assert level_case(spark, "52.9", None, millions) == "one"  # a number without any unit is in the common one
+    chain = units.Chain(7.7)
+    chain.add(("a",), "money", Fraction("52.9"), [("one", 0.0), ("million", units.LOOSE)])
+    assert chain.close(7.7) == [(("a",), "million")]
+    monkeypatch.setattr(units, "JUMP_MOST", 0.0)
+    monkeypatch.setattr(units, "SWITCH", 0.0)
+    chain = units.Chain(7.7)
+    chain.add(("a",), "money", Fraction("52.9"), [("one", 0.0), ("million", units.LOOSE)])
+    assert chain.close(7.7) == [(("a",), "one")]
+
+
+def test_chain_against_all_paths():
+    """Streamed decoding, which gives out what is certain, is the best of all paths."""
+    rng = random.Random(5)
+    for _ in range(150):
+        before, after = (rng.choice([None, rng.uniform(0, 8)]) for _ in range(2))
+        steps = [(Fraction(rng.choice([0, 5, 52, 5200, 10**6])), [(u, rng.uniform(-4, 0)) for u in rng.sample(list(Q.UNITS["money"]), rng.randint(1, 3))]) for _ in range(rng.randint(1, 6))]
+        chain, got = units.Chain(before), []
+        for k, (number, proposals) in enumerate(steps):
+            got += chain.add((k,), "money", number, proposals)
+        got += chain.close(after)
+        assert [r for r, _ in got] == [(k,) for k in range(len(steps))]
+
+        def cost(path):
+            levels = [units._level(n, Q.UNITS["money"][u]) for (n, _), (u, _) in zip(steps, path)]
+            total = sum(w for _, w in path) - units._jump(before, levels[0]) - units._jump(levels[-1], after)
+            return total + sum((0 if a[0] == b[0] else units.SWITCH) - units._jump(x, y) for a, b, x, y in zip(path, path[1:], levels, levels[1:]))
+
+        weights = [dict(p) for _, p in steps]
+        best = max(itertools.product(*[p for _, p in steps]), key=cost)
+        assert abs(cost([(u, w[u]) for (_, u), w in zip(got, weights)]) - cost(best)) < 1e-9
 
 
 @pytest.mark.parametrize("kind", list(units.Q.UNITS))
 def test_common_unit_is_one(kind):
     assert units.Q.UNITS[kind][units.Q.COMMON[kind]] == 1
-
-
-def test_decoded_is_the_stated_unit_or_the_default():
-    """What the README says of the model, and the operator's full result among the queries."""
-    import __spark_entry__ as entry
-
-    assert "p5_decoded" in entry.queries()
-    for kind, common in Q.COMMON.items():
-        named = list(Q.UNITS[kind])
-        numbers = [Fraction(10) ** k for k in (2, 9, 2, 12, 3, 0, 8, 5)]
-        stated = [named[-1], None, named[0], None, None, named[-1], None, named[0]]
-        plain = [u or common for u in stated]
-        assert units.viterbi(kind, numbers, stated) == plain and units.viterbi(kind, numbers[::-1], stated[::-1]) == plain[::-1]
