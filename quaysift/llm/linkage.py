@@ -1,18 +1,24 @@
 """Matching extracted figures with the companies' own rows, without a shared key.
 
-Method: soft logic. Weighted rules over candidate links become a convex hinge-loss problem, solved by
-consensus ADMM; a link's value in [0, 1] is its confidence.
-
-1. Both sides are brought to (company, metric, period, document kind). Companies are the financials files; the
-   names in document titles find theirs by exact stem or one slip of the keyboard (a join over single-deletion
-   variants of the distinct names, never all against all).
-2. Rows which agree on all four are one class, so that repeated figures do not multiply variables. Classes of one
-   company, metric and period form a block (at most a few document kinds on each side); all distinct amounts of a
-   block are merged in their order, so that the nearest two of any two classes are found exactly.
-3. Rules in a block: agreement of the document kinds and of the values argue for a link, disagreement of the kinds
-   against it; a row without a source stands for the only document of the block; a financials class is stated
-   by one document (exclusivity); two documents that share one row share the others (transitivity).
-4. Links of at least ``threshold`` are expanded to the rows of their classes.
+Method: soft logic. Weighted rules over candidate links become a convex hinge-loss problem, solved by consensus ADMM; a
+link's value in [0, 1] is its confidence, and a link of at least ``threshold`` is reported.
+
+1. Both sides are read into (company, metric, period, document kind) with a nearness in [0, 1] for what was only nearly
+   spelt (a metric with a slip, a period found in the quotation). Companies are the financials files; the names in
+   document titles find theirs by exact stem or one slip of the keyboard (a join over single-deletion variants of the
+   distinct names, never all against all).
+2. Candidates agree in company, metric and period and may differ in document kind, value and spelling. Rows which agree
+   in all of them are one class, so that repeated figures do not multiply variables. All distinct amounts of a block
+   (company, metric, period) are merged in their order, so that the nearest two of any two classes are found exactly.
+3. Rules in a block, none of which settles a link by itself:
+   same kind and near spelling -> link; other kind -> no link; near values -> link; far values -> no link; few links at all;
+   a row is stated by one document (exclusivity); a row without a source is stated by some document of the block (existence),
+   be it one of the evidence or one that other rows name; a document states a figure in one kind of row (crowding, weak);
+   what links a document to a row links it to a row without a source that states the same amount (transitivity).
+4. Links are expanded to the rows of their classes (``link``) or reported by class with counts (``classes``).
+
+Blocks with the same pattern of kinds, nearness and value agreement (to a thousandth) have one solution, computed once
+a batch.
 
 Defined cases: rows with doc_name unknown or null, with no known metric or with no period match nothing; null or
 unusable values count as unknown agreement; repeated rows each match; an empty table gives no links; further
@@ -27,19 +33,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quaysift.functions import ontology as O
 from quaysift.functions import quantities as Q
 from quaysift.operators.units import observe
+from quaysift.session import cut_lineage, spread
 
-READ = "row_key bigint, stem string, sector string, metric string, period string, doc_kind string, amount double"
+READ = "row_key bigint, stem string, sector string, metric string, period string, doc_kind string, near double, amount double"
 LINK = "company string, metric string, period string, e_kind string, f_kind string, confidence double"
 
-#: Rule weights.
-SOURCE, VALUE, PRIOR, EXCLUSIVE, TRANSITIVE = 4.0, 1.0, 0.4, 10.0, 0.5
+#: Weights of the rule families; the first five and existence, crowding and transitivity are squared hinges, exclusivity a linear one.
+WEIGHTS = {"same_kind": 3.0, "other_kind": 3.0, "near_value": 1.0, "far_value": 0.5, "few": 0.1, "exclusive": 5.0, "exists": 2.0, "crowd": 0.3, "transitive": 0.5}
+#: Nearness of a metric spelt with a slip, of a period read from the quotation, and of a company's name with a slip.
+SLIPPED_METRIC, QUOTED_PERIOD, SLIPPED_NAME = 0.95, 0.95, 0.95
 _FILE_TAIL = re.compile(r"([_\s-]+(financials?|fin|metrics|kpis?|usd|in|thousands|millions|billions|musd|kusd|mm|usd000|bn))+$", re.I)
 _VERSION = re.compile(r"[\s_-]*(\(\d+\)|v\d+|final|draft|fy\d\d)$", re.I)
 
@@ -78,30 +86,12 @@ def company_of_file(file_name: str | None, company: str | None) -> tuple[str, st
 
 
 def _amount(metric_name: str | None, value: str | None, quote: str | None, note: str | None, file_name: str | None) -> tuple[str | None, float | None]:
-    metric, kind, number, unit = observe(metric_name, value, quote, note, file_name)
-    if number is None:
-        return metric, None
-    if unit is None:
-        unit = "fraction" if kind == "rate" and abs(number) < 1 else Q.COMMON[kind]
-    return metric, float(number * Q.UNITS[kind][unit])
-
-
-def period_of(fiscal_year: str | None, quote: str | None, metric_name: str | None) -> str | None:
-    """The stated period; where none is stated, the one in the sentence of the quotation that names the metric."""
-    period = O.resolve_period(fiscal_year)
-    if period or (fiscal_year or "").strip() or not quote:
-        return period
-    name = (metric_name or "").strip()
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n+", quote)]
-    named = [s for s in sentences if name and name in s] or sentences
-    for exact in (False, True):
-        for s in named:
-            for m in O.PERIOD_IN_TEXT.finditer(s):
-                if re.fullmatch(r"\d{4}", m.group(0)) == exact or (re.fullmatch(r"\d{4}", m.group(0)) is None) is not exact:
-                    found = O.resolve_period(m.group(0))
-                    if found:
-                        return found
-    return None
+    metric, kind, number, units = observe(metric_name, value, quote, note, file_name)
+    return metric, None if number is None else float(number * Q.UNITS[kind][units[0][0]])
+
+
+def _exact_metric(name: str) -> bool:
+    return any(O.squeeze(text) in O.ALIASES for text in (name, O.split_metric(name)[0]))
 
 
 def _read_evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,10 +100,11 @@ def _read_evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples(index=False):
             name = company_of_document(r.doc_name)
             metric, amount = _amount(r.metric_name, r.value, r.source_quote, None, None)
-            period = period_of(r.fiscal_year, r.source_quote, r.metric_name)
+            period = O.period_of(r.fiscal_year, r.source_quote, r.metric_name)
             kind = O.resolve_doc_kind(r.doc_name)
             if name and metric and period and kind:
-                rows.append((r.evidence_id, *name, metric, period, kind, amount))
+                near = (1.0 if _exact_metric(r.metric_name) else SLIPPED_METRIC) * (1.0 if O.resolve_period(r.fiscal_year) else QUOTED_PERIOD)
+                rows.append((r.evidence_id, *name, metric, period, kind, near, amount))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
 
@@ -127,22 +118,34 @@ def _read_financials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             blank = r.source is None or not r.source.strip()
             kind = "" if blank else O.resolve_doc_kind(r.source)
             if name and metric and period and kind is not None:
-                rows.append((r.fin_row_id, *name, metric, period, kind, amount))
+                near = 1.0 if _exact_metric(r.metric) else SLIPPED_METRIC
+                rows.append((r.fin_row_id, *name, metric, period, kind, near, amount))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
 
-def _variants(stem: str) -> list[str]:
-    return sorted({stem, *(stem[:i] + stem[i + 1 :] for i in range(len(stem)))}) if len(stem) > 4 else [stem]
+def _variants(stem: str) -> Column:
+    """A name and, if it has five letters or more, all it becomes by leaving out one."""
+    c = F.col(stem)
+    without = F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substring(c, k + 1, F.length(c))))
+    return F.when(F.length(c) > 4, F.array_distinct(F.concat(F.array(c), without))).otherwise(F.array(c))
+
+
+def _one_slip(left: str, right: str) -> Column:
+    """Whether two names differ by one insertion, deletion, substitution or swap of neighbours at most."""
+    a, b = F.col(left), F.col(right)
+    unlike = F.filter(F.sequence(F.lit(1), F.length(a)), lambda k: F.substring(a, k, F.lit(1)) != F.substring(b, k, F.lit(1)))
+    p, q = F.get(unlike, F.lit(0)), F.get(unlike, F.lit(1))
+    letter = lambda c, k: F.substring(c, k, F.lit(1))
+    swapped = (F.length(a) == F.length(b)) & (F.size(unlike) == 2) & (q == p + 1) & (letter(a, p) == letter(b, q)) & (letter(a, q) == letter(b, p))
+    return (F.levenshtein(a, b) <= 1) | F.coalesce(swapped, F.lit(False))
 
 
 def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
     """(stem, sector) -> company (its stem and sector, and how near): names: stem, sector; companies: stem, sector."""
-    variants = F.udf(_variants, T.ArrayType(T.StringType()))
-    slip = F.udf(O.one_slip, T.BooleanType())
     known = companies.select(F.col("stem").alias("c_stem"), F.col("sector").alias("c_sector")).distinct()
-    left = names.select("stem", "sector").distinct().withColumn("v", F.explode(variants("stem")))
-    right = known.withColumn("v", F.explode(variants("c_stem")))
-    near = left.join(right, "v").drop("v").distinct().filter(slip("stem", "c_stem"))
+    left = names.select("stem", "sector").distinct().withColumn("v", F.explode(_variants("stem")))
+    right = known.withColumn("v", F.explode(_variants("c_stem")))
+    near = left.join(right, "v").drop("v").distinct().filter(_one_slip("stem", "c_stem"))
     near = near.filter((F.col("sector") == "") | (F.col("c_sector") == "") | (F.levenshtein("sector", "c_sector") <= 1))
     near = near.withColumn("rank", (F.col("stem") != F.col("c_stem")).cast("int") * 2 + (F.col("sector") != F.col("c_sector")).cast("int"))
     best = near.groupBy("stem", "sector").agg(
@@ -152,34 +155,38 @@ def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
     single = F.size(F.filter("ranks", lambda r: r == F.col("least"))) == 1
     return best.filter(single).select(
         "stem", "sector", F.concat_ws("|", "best.c_stem", "best.c_sector").alias("company"),
-        F.when(F.col("least") >= 2, 0.95).otherwise(1.0).alias("nearness"),
+        F.when(F.col("least") >= 2, SLIPPED_NAME).otherwise(1.0).alias("nearness"),
     )
 
 
-def hinge_admm(n: int, factors: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], rho: float = 1.0, rounds: int = 400, tolerance: float = 1e-4) -> np.ndarray:
-    """Minimise the sum of w * max(0, a.x + b) over x in [0, 1]^n by consensus ADMM.
+Factor = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]
 
-    factors: by arity (variables [m, k], coefficients [m, k], constants [m], weights [m]).
+
+def hinge_admm(n: int, factors: list[Factor], rho: float = 1.0, rounds: int = 1000, tolerance: float = 1e-5) -> np.ndarray:
+    """Minimise the sum of w * max(0, a.x + b), or of its squares, over x in [0, 1]^n by consensus ADMM.
+
+    factors: by arity (variables [m, k], coefficients [m, k], constants [m], weights [m], squared).
     """
     x = np.full(n, 0.5)
     degree = np.zeros(n)
     copies = []
-    for index, coef, const, weight in factors:
+    for index, *_ in factors:
         np.add.at(degree, index, 1.0)
         copies.append([x[index].copy(), np.zeros(index.shape)])
     degree = np.maximum(degree, 1.0)
     for _ in range(rounds):
         total, moved = np.zeros(n), 0.0
-        for (index, coef, const, weight), state in zip(factors, copies):
+        for (index, coef, const, weight, squared), state in zip(factors, copies):
             point = x[index] - state[1] / rho
             slack = (coef * point).sum(1) + const
-            pushed = point - (weight / rho)[:, None] * coef
-            after = (coef * pushed).sum(1) + const
             norm = np.maximum((coef * coef).sum(1), 1e-12)
-            onto = point - (slack / norm)[:, None] * coef
-            local = np.where((slack <= 0)[:, None], point, np.where((after >= 0)[:, None], pushed, onto))
-            state[0] = local
-            np.add.at(total, index, local + state[1] / rho)
+            if squared:
+                step = 2 * weight * np.maximum(slack, 0.0) / (rho + 2 * weight * norm)
+            else:
+                # a full push where the hinge stays open, else just onto its edge
+                step = np.minimum(weight / rho, np.maximum(slack, 0.0) / norm)
+            state[0] = point - step[:, None] * coef
+            np.add.at(total, index, state[0] + state[1] / rho)
         new = np.clip(total / degree, 0.0, 1.0)
         for (index, *_), state in zip(factors, copies):
             gap = state[0] - new[index]
@@ -209,7 +216,7 @@ class _Block:
         self.key = key
         self.nearness: dict[tuple[str, str], float] = {}
         self.last: dict[tuple[str, str], float] = {}
-        self.delta: dict[tuple[str, str], float] = {}
+        self.delta: dict[tuple[tuple[str, str], tuple[str, str]], float] = {}
 
     def add(self, side: str, kind: str, nearness: float, amount: float | None) -> None:
         own = side, kind
@@ -217,8 +224,9 @@ class _Block:
         if amount is None or amount != amount:
             return
         for (other, its_kind), before in self.last.items():
-            if other != side:
-                pair = (kind, its_kind) if side == "e" else (its_kind, kind)
+            # a row without a source is also compared with the rows that name theirs
+            if other != side or side == "f" and (kind == "") != (its_kind == ""):
+                pair = (own, (other, its_kind)) if own < (other, its_kind) else ((other, its_kind), own)
                 delta = 0.0 if amount == before else abs(amount - before) / max(abs(amount), abs(before), 1e-9)
                 self.delta[pair] = min(delta, self.delta.get(pair, delta))
         self.last[own] = amount
@@ -228,47 +236,79 @@ class _Block:
         return sorted((kind, near) for (side, kind), near in self.nearness.items() if side == name)
 
 
-def _solve(blocks: list[_Block]) -> pd.DataFrame:
-    rows, by_arity = [], {}
-
-    def rule(weight: float, terms: list[tuple[int, float]], const: float) -> None:
-        index, coef = [v for v, _ in terms], [c for _, c in terms]
-        part = by_arity.setdefault(len(terms), ([], [], [], []))
-        for store, item in zip(part, (index, coef, const, weight)):
-            store.append(item)
-
-    for block in blocks:
-        left, right = block.side("e"), block.side("f")
-        stated = {kind for kind, _ in right}
-        kinds = {kind for kind, _ in left} | (stated - {""})
-        at = {}
-        for e, near in left:
-            for f, _ in right:
-                v = at[e, f] = len(rows)
-                rows.append([*block.key, e, f])
-                value = agreement(block.delta.get((e, f)))
-                if f:
-                    source = near if e == f else 0.0
-                else:
-                    source = near if len(left) == 1 else (0.5 if value is None else 0.75 * value if e not in stated else 0.3 * value)
-                    source = near if len(kinds) == 1 else source
-                rule(SOURCE, [(v, -1.0)], source)
-                rule(SOURCE, [(v, 1.0)], -source)
-                if value is not None:
-                    rule(VALUE, [(v, -1.0)], min(value, source + 0.2))
-                rule(PRIOR, [(v, 1.0)], 0.0)
+    def agreement(self, one: tuple[str, str], other: tuple[str, str]) -> float | None:
+        """Agreement of two classes to a thousandth."""
+        value = agreement(self.delta.get((one, other) if one < other else (other, one)))
+        return None if value is None else round(value, 3)
+
+    def pattern(self) -> tuple:
+        """All that the rules see of the block: kinds with their nearness, and the agreement of every pair that may be linked."""
+        left, right = self.side("e"), self.side("f")
+        stated = [kind for kind, _ in right if kind and kind not in dict(left)]
+        pairs = []
         for f, _ in right:
-            if len(left) > 1:
-                rule(EXCLUSIVE, [(at[e, f], 1.0) for e, _ in left], -1.0)
-        for e, _ in left:
-            for g, _ in left:
-                for f, _ in right:
-                    for h, _ in right:
-                        if e < g and f < h:
-                            rule(TRANSITIVE, [(at[e, f], 1.0), (at[e, h], 1.0), (at[g, f], 1.0), (at[g, h], -1.0)], -2.0)
-    factors = [(np.array(i), np.array(c, float), np.array(k, float), np.array(w, float)) for i, c, k, w in by_arity.values()]
-    x = hinge_admm(len(rows), factors) if rows else np.zeros(0)
-    return pd.DataFrame([(*r, float(v)) for r, v in zip(rows, x)], columns=[c.split()[0] for c in LINK.split(", ")])
+            for e, _ in left:
+                pairs.append((e, f, self.agreement(("e", e), ("f", f))))
+            if not f:
+                pairs += [(k, f, self.agreement(("f", k), ("f", f))) for k in stated]
+        ties = [(f, self.agreement(("f", ""), ("f", f))) for f, _ in right if f and f in dict(left)] if "" in dict(right) else []
+        return tuple(left), tuple(right), tuple(pairs), tuple((f, value) for f, value in ties if value is not None)
+
+
+def rules(pattern: tuple, first: int, add) -> None:
+    """The rules of a block; its pairs are the variables from ``first`` on. add(family, [(variable, coefficient)], constant)."""
+    left, right, pairs = dict(pattern[0]), dict(pattern[1]), pattern[2]
+    at = {(k, f): first + n for n, (k, f, _) in enumerate(pairs)}
+    for k, f, value in pairs:
+        v = at[k, f]
+        near = left.get(k, 1.0) * right[f]
+        if f == k:
+            add("same_kind", [(v, -1.0)], near)
+        elif f:
+            add("other_kind", [(v, 1.0)], 0.0)
+        if value is not None:
+            add("near_value", [(v, -1.0)], value * near)
+            add("far_value", [(v, 1.0)], -value)
+        add("few", [(v, 1.0)], 0.0)
+    for f, near in right.items():
+        mine = [(v, k) for (k, g), v in at.items() if g == f]
+        if len(mine) > 1:
+            add("exclusive", [(v, 1.0) for v, _ in mine], -1.0)
+        if not f:
+            add("exists", [(v, -1.0) for v, _ in mine], near * max(left.get(k, 0.0) for _, k in mine))
+    for e in left:
+        if len(right) > 1:
+            add("crowd", [(at[e, f], 1.0) for f in right], -1.0)
+    for f, value in pattern[3]:
+        add("transitive", [(at[f, f], 1.0), (at[f, ""], -1.0)], value - 1.0)
+
+
+def solve(patterns: list[tuple], weights: dict[str, float] = WEIGHTS) -> list[list[tuple[str, str, float]]]:
+    """For each block's pattern, its links with the confidence of each."""
+    parts: dict[tuple[int, bool], tuple[list, list, list, list]] = {}
+
+    def add(family: str, terms: list[tuple[int, float]], const: float) -> None:
+        if weights[family]:
+            part = parts.setdefault((len(terms), family != "exclusive"), ([], [], [], []))
+            for store, item in zip(part, ([v for v, _ in terms], [c for _, c in terms], const, weights[family])):
+                store.append(item)
+
+    starts, n = [], 0
+    for pattern in patterns:
+        starts.append(n)
+        rules(pattern, n, add)
+        n += len(pattern[2])
+    factors = [(np.array(i), np.array(c, float), np.array(k, float), np.array(w, float), squared) for (_, squared), (i, c, k, w) in parts.items()]
+    x = hinge_admm(n, factors) if n else np.zeros(0)
+    return [[(k, f, float(x[start + m])) for m, (k, f, _) in enumerate(pattern[2]) if k in dict(pattern[0])] for start, pattern in zip(starts, patterns)]
+
+
+def _solved(blocks: list[_Block]) -> pd.DataFrame:
+    patterns = [b.pattern() for b in blocks]
+    distinct = list(dict.fromkeys(patterns))
+    links = dict(zip(distinct, solve(distinct)))
+    rows = [(*b.key, k, f, confidence) for b, pattern in zip(blocks, patterns) for k, f, confidence in links[pattern]]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in LINK.split(", ")])
 
 
 def _linked(frames: Iterator[pd.DataFrame], batch: int = 4000) -> Iterator[pd.DataFrame]:
@@ -287,25 +327,41 @@ def _linked(frames: Iterator[pd.DataFrame], batch: int = 4000) -> Iterator[pd.Da
                 held = _Block(tuple(key))
             held.add(side, kind, nearness, amount)
         if len(blocks) >= batch:
-            yield _solve(blocks)
+            yield _solved(blocks)
             blocks = []
     close()
-    yield _solve(blocks)
+    yield _solved(blocks)
+
+
+KEY = ["company", "metric", "period"]
+
+
+def _read(evidence: DataFrame, financials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides as rows of (row_key, company, metric, period, kind, nearness, amount); each source is parsed once."""
+    e = cut_lineage(spread(evidence.select("evidence_id", "metric_name", "value", "fiscal_year", "source_quote", "doc_name")).mapInPandas(_read_evidence, READ))
+    f = cut_lineage(spread(financials.select("fin_row_id", "file_name", "company", "metric", "fiscal_year", "value", "source")).mapInPandas(_read_financials, READ))
+    resolved = resolve_companies(e.select("stem", "sector"), f.select("stem", "sector"))
+    e = e.join(resolved, ["stem", "sector"]).select("row_key", *KEY, F.col("doc_kind").alias("kind"), (F.col("near") * F.col("nearness")).alias("nearness"), "amount")
+    return e, f.select("row_key", F.concat_ws("|", "stem", "sector").alias("company"), "metric", "period", F.col("doc_kind").alias("kind"), F.col("near").alias("nearness"), "amount")
+
+
+def _links(e: DataFrame, f: DataFrame, threshold: float) -> DataFrame:
+    given = e.withColumn("side", F.lit("e")).unionByName(f.withColumn("side", F.lit("f")))
+    amounts = given.groupBy(*KEY, "side", "kind", F.round("amount", 4).alias("amount")).agg(F.max("nearness").alias("nearness")).select(*KEY, "side", "kind", "nearness", "amount")
+    ordered = amounts.repartition(*KEY).sortWithinPartitions(*KEY, "amount", "side", "kind")
+    return ordered.mapInPandas(_linked, LINK).filter(F.col("confidence") >= threshold)
 
 
 def link(evidence: DataFrame, financials: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(evidence_id, fin_row_id, confidence) of all pairs of rows which state the same fact."""
-    e = evidence.select("evidence_id", "metric_name", "value", "fiscal_year", "source_quote", "doc_name").mapInPandas(_read_evidence, READ)
-    f = financials.select("fin_row_id", "file_name", "company", "metric", "fiscal_year", "value", "source").mapInPandas(_read_financials, READ)
-    companies = f.select("stem", "sector")
-    resolved = resolve_companies(e.select("stem", "sector"), companies)
-    e = e.join(resolved, ["stem", "sector"]).select("row_key", "company", "metric", "period", F.col("doc_kind").alias("e_kind"), "nearness", "amount")
-    f = f.select("row_key", F.concat_ws("|", "stem", "sector").alias("company"), "metric", "period", F.col("doc_kind").alias("f_kind"), "amount")
-    key = ["company", "metric", "period"]
-    given = e.select(*key, F.lit("e").alias("side"), F.col("e_kind").alias("kind"), "nearness", "amount").unionByName(
-        f.select(*key, F.lit("f").alias("side"), F.col("f_kind").alias("kind"), F.lit(1.0).alias("nearness"), "amount")
-    )
-    amounts = given.groupBy(*key, "side", "kind", F.round("amount", 4).alias("amount")).agg(F.max("nearness").alias("nearness")).select(*key, "side", "kind", "nearness", "amount")
-    links = amounts.repartition(*key).sortWithinPartitions(*key, "amount", "side", "kind").mapInPandas(_linked, LINK).filter(F.col("confidence") >= threshold)
-    on_e = links.join(e.select(F.col("row_key").alias("evidence_id"), *key, "e_kind"), [*key, "e_kind"])
-    return on_e.join(f.select(F.col("row_key").alias("fin_row_id"), *key, "f_kind"), [*key, "f_kind"]).select("evidence_id", "fin_row_id", "confidence")
+    e, f = _read(evidence, financials)
+    on_e = _links(e, f, threshold).join(e.select(F.col("row_key").alias("evidence_id"), *KEY, F.col("kind").alias("e_kind")), [*KEY, "e_kind"])
+    return on_e.join(f.select(F.col("row_key").alias("fin_row_id"), *KEY, F.col("kind").alias("f_kind")), [*KEY, "f_kind"]).select("evidence_id", "fin_row_id", "confidence")
+
+
+def classes(evidence: DataFrame, financials: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The links between classes, with the number of rows on each side: what ``link`` expands to pairs."""
+    e, f = _read(evidence, financials)
+    count = lambda d, kind, n: d.groupBy(*KEY, F.col("kind").alias(kind)).agg(F.count("*").alias(n))
+    out = _links(e, f, threshold).join(count(e, "e_kind", "n_evidence"), [*KEY, "e_kind"]).join(count(f, "f_kind", "n_financials"), [*KEY, "f_kind"])
+    return out.select(*KEY, "e_kind", "f_kind", "confidence", "n_evidence", "n_financials")

@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_links(spark, sf_dir).select("evidence_id", "fin_row_id").distinct()
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal statements, with the rows they stand for."""
+    return linkage.classes(table(spark, sf_dir, "financial_evidence"), table(spark, sf_dir, "financials"))
+
+
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with their restored text."""
     out = encoding.repair(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -30,7 +35,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p1_classes": p1_classes, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
 
 
