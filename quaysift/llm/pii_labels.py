@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-KINDS = ("person_name", "email", "phone", "id_number", "street_address")
+from quaysift.llm.pii_templates import KIND as _KIND
 
 _W = r"[A-ZÀ-Þ][a-zß-ÿ]+(?:['’][A-Za-zÀ-ÿ]+)?"
 #: Slots of the frames.
@@ -60,7 +60,6 @@ Tel\. {P} / {E}(?=\s|$)
 #: A sentence's start, and what identity numbers are called (fixed values).
 _START = r"(?:^|[.?!;:”\"] |\n|[\[\"“\t]|  )"
 _LABEL = r"(?:(?:SSN|NI number|national ID|passport(?: no\.)?|social security no\.|national insurance number|personal tax ID|tax ID|driver licence|identity card(?: no\.)?|ID) )?"
-_KIND = {"N": 0, "E": 1, "P": 2, "I": 3, "A": 4}
 
 
 def _compiled() -> list[tuple[re.Pattern, list[int]]]:

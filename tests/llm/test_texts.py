@@ -178,7 +178,8 @@ def test_held_out_accuracy():
     """Kinds found in rows that training did not see against the labels of known frames."""
     import duckdb
 
-    from quaysift.llm.pii_labels import KINDS, spans
+    from quaysift.llm.pii_labels import spans
+    from quaysift.llm.pii_templates import KINDS
 
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/doc_chunks.parquet' WHERE text IS NOT NULL UNION ALL SELECT source_quote FROM '/root/testdata/sf0.001/financial_evidence.parquet' WHERE source_quote IS NOT NULL").fetchall()]
     hit = miss = extra = 0
@@ -210,15 +211,32 @@ def test_gradient():
 
     r = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in T.initial(0, hidden=3, width=2).items()}
-    x, y = r.integers(0, 20, (2, T.T)), r.integers(0, T.K, (2, T.T))
-    _, g = T.loss_and_gradient(w, x, y)
-    for name in ("wo", "trans", "wh", "b"):
-        at = tuple(r.integers(0, n) for n in w[name].shape)
-        up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
-        up[name][at] += 1e-2
-        down[name][at] -= 1e-2
-        slope = (T.loss_and_gradient(up, x, y)[0] - T.loss_and_gradient(down, x, y)[0]) / 2e-2
-        assert abs(slope - g[name][at]) < 0.05 * max(1.0, abs(slope))
+    x, y, sizes = r.integers(0, 20, (3, T.T)), r.integers(0, T.K, (3, T.T)), np.array([T.T, 7, 1])
+    _, g = T.loss_and_gradient(w, x, y, sizes)
+    for name in ("wo", "trans", "wh", "b", "wx", "emb"):
+        for _ in range(4):
+            at = tuple(r.integers(0, min(n, 20)) for n in w[name].shape)
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += 1e-4
+            down[name][at] -= 1e-4
+            slope = (T.loss_and_gradient(up, x, y, sizes)[0] - T.loss_and_gradient(down, x, y, sizes)[0]) / 2e-4
+            assert abs(slope - g[name][at]) < 1e-4 * max(1.0, abs(slope))
+
+
+def test_scores_are_those_of_training_and_need_no_neighbours():
+    import numpy as np
+
+    from quaysift.llm import pii_training as T
+
+    r = np.random.default_rng(2)
+    w = T.initial(1, hidden=4, width=3)
+    net = pii.Tagger(w)
+    sizes = np.array([40, 22, 22, 5])
+    x = r.integers(1, pii.N_CLASSES, (4, 40))
+    whole = net.scores(x, sizes)
+    for k, n in enumerate(sizes):
+        alone = net.scores(x[k : k + 1, :n], sizes[k : k + 1])
+        assert np.abs(alone[0] - whole[k, :n]).max() < 1e-5
 
 
 @pytest.mark.parametrize("garbled, want", [
