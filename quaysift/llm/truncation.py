@@ -1,15 +1,16 @@
 """Texts cut off by field limits or in transfer: the cut rows, and each source's share of them.
 
 Method: a structural completeness check. A stack automaton reads the whole text and keeps what is open (brackets,
-quotation marks, markup); its end state tells whether something is unclosed, a multibyte sequence or an escape is
-broken, a terminator is missing, or a table row has fewer cells than its header. A missing terminator is judged
+quotation marks, tags of markup, code fences); its end state tells whether something is unclosed, a multibyte sequence or
+an escape is broken, a terminator is missing, or a table row has fewer cells than its header. A missing terminator is judged
 against the baseline of complete lines: an unterminated last line is complete if lines of the same form (digits as 0,
 names as Xx), or of the same label and the same form of value, also stand within other texts, where nothing can have
-cut them; likewise the last cell of a table. Lengths at which a source's texts pile up are its field limits; a last cell
-which merely may be complete counts as cut there unless its form is frequent.
+cut them; likewise the last cell of a table. How often a form must stand there depends on the source: ``support`` times,
+but once is enough in a source of which no row shows a sure cut, and at a length at which a source's sure cuts pile up (its
+field limit) five times as often.
 
-Scale: one pass over the texts; the inventories are partial aggregates by form, joined only with the few undecided
-rows. Nothing is collected.
+Scale: one pass reads each text once and gives out a slim row a text and, for each batch, the counts of its lines and
+cells; that table is checkpointed. The inventories are sums by form, joined only with the few undecided rows.
 
 Defined cases: null, blank and placeholder texts are complete; a terminated text is complete whatever its length;
 repeated rows are each judged; empty tables give no rows; other columns are ignored.
@@ -18,15 +19,21 @@ repeated rows are each judged; empty tables give no rows; other columns are igno
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaysift.session import cut_lineage, spread
+
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
 CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-_EVENT = re.compile(r"[()\[\]{}“”„«»\"]")
+_EVENT = re.compile(r"[()\[\]{}“”„«»\"]|```|</?[a-zA-Z][a-zA-Z0-9]{0,15}(?:\s[^<>]*)?/?>")
+#: Tags which need not be closed.
+_LOOSE_TAGS = frozenset("p li td th tr br hr img input meta link option dt dd col area base wbr source".split())
 _TERMINATED = re.compile(r"[.!?。！？][\"”’»)\]*_]*$")
 #: Abbreviations after which a sentence goes on.
 _WITHIN = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|No|no|nos|St|Rd|Ave|Tel|ext|vs|approx|incl|Apt|Dept|P\.O)\.|\b[A-Z]\.")
@@ -42,11 +49,18 @@ def open_at_end(text: str) -> list[str]:
     """What the automaton's stack holds after the whole text; closers without an opener are passed over."""
     stack: list[str] = []
     for c in _EVENT.findall(text):
-        if c == '"':
-            if '"' in stack:
-                del stack[stack.index('"') :]
+        if c in ('"', "```"):
+            if c in stack:
+                del stack[stack.index(c) :]
             else:
                 stack.append(c)
+        elif c[0] == "<":
+            name = c.strip("</>").split()[0].lower()
+            if c[1] == "/":
+                if f"<{name}>" in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(f"<{name}>") :]
+            elif name not in _LOOSE_TAGS and c[-2] != "/":
+                stack.append(f"<{name}>")
         elif c == "“" and "„" in stack:
             del stack[stack.index("„") :]
         elif c in OPENERS:
@@ -85,38 +99,69 @@ def judge(text: str | None) -> tuple[str, str | None, str | None]:
         return ("cut" if _INITIAL.search(inner) else "complete"), None, None
     if _BROKEN_END.search(inner) and not inner.endswith("%"):
         return "cut", None, None
-    if re.search(r"[.!?][”\"’)\]]?\s+\S", _WITHIN.sub("", last)) or len(last) > 160 and " " in last:
+    if re.search(r"[.!?][”\"’)\]]?\s+\S", _WITHIN.sub("", last)):
         return "cut", None, None
     return "undecided", last, None
 
 
-def digits_as_zero(c: Column) -> Column:
-    return F.regexp_replace(c, r"\d", "0")
+_DIGIT = re.compile(r"[0-9]")
+_FORMS = (
+    (re.compile(r"\b(?:Q0 (?:FY)?0000|FY ?0000|FY ?00|0000-Q0|the trailing twelve months|TTM|LTM)\b", re.A), "PP"),
+    (re.compile(r"[$€£]0{1,3}(?:,000)+(?![0-9,.])"), "$G"), (re.compile(r"[$€£]0+(?:\.0+)?"), "$N"), (re.compile(r"\b0+(?:\.0+)?(?= ?%| percent)", re.A), "N"),
+)
 
 
-def line_key(c: Column) -> Column:
+@lru_cache(maxsize=200_000)
+def line_key(line: str) -> str:
     """A line with its periods as PP, well-formed amounts as $G or $N, percentages as N% and other digits as 0."""
-    c = digits_as_zero(c)
-    c = F.regexp_replace(c, r"\b(?:Q0 (?:FY)?0000|FY ?0000|FY ?00|0000-Q0|the trailing twelve months|TTM|LTM)\b", "PP")
-    c = F.regexp_replace(c, r"[$€£]0{1,3}(?:,000)+(?![\d,.])", r"\$G")
-    c = F.regexp_replace(c, r"[$€£]0+(?:\.0+)?", r"\$N")
-    return F.regexp_replace(c, r"\b0+(?:\.0+)?(?= ?%| percent)", "N")
+    line = _DIGIT.sub("0", line)
+    if "0" in line or "TM" in line or "trailing" in line:
+        for pattern, mark in _FORMS:
+            line = pattern.sub(mark, line)
+    return line
+
+
+def cell_key(cell: str) -> str:
+    return _DIGIT.sub("0", cell)
 
 
 def form(c: Column) -> Column:
     """A line's form: mail addresses by their last label, capitalised words as Xx, digits as 0, runs of Xx as one."""
     c = F.regexp_replace(c, r"(?i)\S+\s?(?:@|\(at\)|\[at\])\s?[\w.-]*?(?:\.|\(dot\)|\[dot\]|\s)+([a-z]+)(?=[\s;,)\]]|$)", "@$1")
     c = F.regexp_replace(c, r"(?U)\b\p{Lu}[\p{L}’'-]*\.?", "Xx")
-    return F.regexp_replace(digits_as_zero(c), r"Xx(?:[\s,-]+Xx)*", "Xx")
+    return F.regexp_replace(c, r"Xx(?:[\s,-]+Xx)*", "Xx")
+
+
+READ = "what string, tbl string, row_key bigint, source string, size int, verdict string, line string, cell string, key string, n bigint"
+_ENDED = re.compile(r"[.!?][\"”’»)\]]*$")
 
 
-def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def inventory(text: str) -> tuple[list[str], list[str]]:
+    """(keys of the unterminated lines, distinct keys of each row's cells) that stand before a text's last line."""
+    lines, cells = [], []
+    for raw in text.split("\n")[:-1]:
+        line = raw.strip(" ")
+        if " | " in line:
+            cells += {cell_key(cell.strip()) for cell in line.split("|")}
+        elif line and not _ENDED.search(line):
+            lines.append(line_key(line))
+    return lines, cells
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in READ.split(", ")]
     for pdf in frames:
-        rows = []
+        rows, lines, cells = [], Counter(), Counter()
         for tbl, key, source, text in pdf.itertuples(index=False, name=None):
             verdict, line, cell = judge(text)
-            rows.append((tbl, key, source, None if text is None else len(text), verdict, line, cell))
-        yield pd.DataFrame(rows, columns=["tbl", "row_key", "source", "size", "verdict", "line", "cell"])
+            shape = line_key(line) if line is not None else cell_key(cell) if cell is not None else None
+            rows.append(("text", tbl, key, source, None if text is None else len(text), verdict, line, cell, shape, None))
+            if text is not None and "\n" in text:
+                found = inventory(text)
+                lines.update(found[0])
+                cells.update(found[1])
+        rows += [("line", *[None] * 7, key, n) for key, n in lines.items()] + [("cell", *[None] * 7, key, n) for key, n in cells.items()]
+        yield pd.DataFrame(rows, columns=names)
 
 
 def records(doc_chunks: DataFrame, evidence_chunks: DataFrame) -> DataFrame:
@@ -128,46 +173,39 @@ def records(doc_chunks: DataFrame, evidence_chunks: DataFrame) -> DataFrame:
 
 def check(rows: DataFrame, support: int = 2) -> DataFrame:
     """(tbl, row_key, source, cut) of all rows: (tbl, row_key, source, text)."""
-    judged = rows.mapInPandas(_judged, "tbl string, row_key bigint, source string, size int, verdict string, line string, cell string")
-    inner = (
-        rows.filter(F.col("text").contains("\n"))
-        .select(F.explode(F.slice(F.split("text", "\n"), 1, F.size(F.split("text", "\n")) - 1)).alias("line"))
-        .select(F.trim("line").alias("line"))
-    )
-    short = inner.filter((F.length("line").between(1, 160)) & ~F.col("line").contains(" | ") & ~F.col("line").rlike(r"[.!?][\"”’»)\]]*$"))
-    lines = short.groupBy(line_key(F.col("line")).alias("exact")).agg(F.count("*").alias("n"))
-    exact = lines.filter(F.col("n") >= support).select("exact", F.col("n").alias("n_exact"))
-    forms = lines.groupBy(form(F.col("exact")).alias("form")).agg(F.sum("n").alias("n_form")).filter(F.col("n_form") >= support)
-    label, value = F.regexp_extract("exact", r"^(.{1,60}?): (.+)$", 1), F.regexp_extract("exact", r"^(.{1,60}?): (.+)$", 2)
-    labels = lines.groupBy(label.alias("label")).agg(F.sum("n").alias("n_label")).filter((F.col("n_label") >= support) & (F.col("label") != ""))
-    values = lines.groupBy(value.alias("val")).agg(F.sum("n").alias("n_value")).filter((F.col("n_value") >= support) & (F.col("val") != ""))
-    tails = lines.groupBy(F.regexp_extract("exact", r"(\S+)$", 1).alias("tail")).agg(F.sum("n").alias("n_tail")).filter(F.col("n_tail") >= support)
-    cells = (
-        inner.filter(F.col("line").contains(" | "))
-        .select(F.explode(F.array_distinct(F.split(digits_as_zero(F.col("line")), r"\s*\|\s*"))).alias("shape"))
-        .groupBy("shape").agg(F.count("*").alias("n_cell")).filter(F.col("n_cell") >= support)
-    )
-    limits = judged.groupBy("tbl", "source", "size").agg(F.count("*").alias("n_size"), F.sum((F.col("verdict") == "cut").cast("int")).alias("n_cut"))
+    read = cut_lineage(spread(rows.select("tbl", "row_key", "source", "text")).mapInPandas(_read, READ))
+    judged = read.filter("what = 'text'").drop("what", "n")
+    counted = lambda what: read.filter(F.col("what") == what).groupBy("key").agg(F.sum("n").alias("n"))
+    lines = counted("line")
+    pattern = r"^(.{1,60}?): (.+)$"
+    label, value, tail = F.regexp_extract("key", pattern, 1), F.regexp_extract("key", pattern, 2), F.regexp_extract("key", r"(\S+)$", 1)
+    # every line counts for its key, its form, its label, its value and its last word: one sum over all of them
+    facets = F.array(*[F.struct(F.lit(name).alias("facet"), c.alias("shape")) for name, c in (("key", F.col("key")), ("form", form(F.col("key"))), ("label", label), ("value", value), ("tail", tail))])
+    sums = lines.select("n", F.explode(facets).alias("f")).filter("f.shape <> ''").groupBy("f.facet", "f.shape").agg(F.sum("n").alias("n"))
+    # the baseline of each source: whether any of its rows is surely cut, and the lengths at which these pile up
+    sure = F.sum((F.col("verdict") == "cut").cast("int"))
+    steady = judged.groupBy("tbl", "source").agg(sure.alias("n_sure")).filter("n_sure = 0").select("tbl", "source", F.lit(True).alias("steady"))
+    limits = judged.groupBy("tbl", "source", "size").agg(F.count("*").alias("n_size"), sure.alias("n_cut"))
     limits = limits.filter((F.col("n_cut") >= 8) & (F.col("n_cut") >= 0.5 * F.col("n_size"))).select("tbl", "source", "size", F.lit(True).alias("at_limit"))
-    open_lines = judged.filter((F.col("verdict") == "undecided") & F.col("line").isNotNull()).withColumn("exact", line_key(F.trim("line")))
-    open_lines = open_lines.withColumn("form", form(F.col("exact"))).withColumn("tail", F.regexp_extract("exact", r"(\S+)$", 1))
-    open_lines = open_lines.withColumn("label", label).withColumn("val", value)
-    by_line = open_lines.join(exact, "exact", "left").join(forms, "form", "left").join(tails, "tail", "left").join(labels, "label", "left").join(values, "val", "left")
-    personal = F.col("form").rlike(r"@|0000|Xx")
-    same = F.col("n_exact").isNotNull()
-    alike = F.col("n_form").isNotNull() & personal & (F.col("n_tail").isNotNull() | F.col("tail").rlike(r"[0@]"))
+    need = F.when(F.coalesce("at_limit", F.lit(False)), 5 * support).when(F.coalesce("steady", F.lit(False)), 1).otherwise(support)
+    undecided = judged.filter("verdict = 'undecided'").join(limits, ["tbl", "source", "size"], "left").join(steady, ["tbl", "source"], "left").withColumn("need", need)
+    asked = undecided.filter("line IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
+    asked = cut_lineage(asked.select("id", "tbl", "row_key", "source", "line", "key", "need"))
+    known = asked.select("id", F.explode(facets).alias("f")).select("id", "f.facet", "f.shape").join(sums, ["facet", "shape"])
+    known = known.groupBy("id").pivot("facet", ["key", "form", "label", "value", "tail"]).agg(F.first("n")).toDF("id", *[f"n_{c}" for c in ("key", "form", "label", "value", "tail")])
+    has = lambda name, least=support: F.coalesce(F.col(f"n_{name}") >= least, F.lit(False))
+    shown = form(F.col("key"))
+    personal = shown.rlike(r"@|0000|Xx")
+    alike = has("form") & personal & (has("tail") | tail.rlike(r"[0@]"))
     run = F.col("line").rlike(r"^\S{40,}$")
     mailed = F.col("line").rlike(MAIL_AT_END)
-    labelled = F.col("n_label").isNotNull() & F.col("n_value").isNotNull()
-    by_line = by_line.select("tbl", "row_key", "source", (~(same | labelled | alike | run | mailed)).alias("cut"))
-    open_cells = judged.filter((F.col("verdict") == "undecided") & F.col("cell").isNotNull()).withColumn("shape", digits_as_zero(F.col("cell")))
-    personal_cell = F.col("shape").rlike(r"(?i)@|\(at\)|\[at\]")
-    mail = F.col("cell").rlike(MAIL_AT_END)
-    by_cell = open_cells.join(cells, "shape", "left").join(limits, ["tbl", "source", "size"], "left").select(
-        "tbl", "row_key", "source",
-        F.when(personal_cell, ~mail).otherwise(F.col("n_cell").isNull() | (F.coalesce(F.col("at_limit"), F.lit(False)) & (F.col("n_cell") < 5 * support))).alias("cut"),
+    by_line = asked.join(known, "id", "left").select("tbl", "row_key", "source", (~(has("key", F.col("need")) | (has("label") & has("value")) | alike | run | mailed)).alias("cut"))
+    cells = counted("cell").withColumnRenamed("n", "n_cell")
+    personal_cell = F.col("key").rlike(r"(?i)@|\(at\)|\[at\]")
+    by_cell = undecided.filter("cell IS NOT NULL").join(cells, "key", "left").select(
+        "tbl", "row_key", "source", F.when(personal_cell, ~F.col("cell").rlike(MAIL_AT_END)).otherwise(F.coalesce(F.col("n_cell") < F.col("need"), F.lit(True))).alias("cut")
     )
-    decided = judged.filter(F.col("verdict") != "undecided").select("tbl", "row_key", "source", (F.col("verdict") == "cut").alias("cut"))
+    decided = judged.filter("verdict <> 'undecided'").select("tbl", "row_key", "source", (F.col("verdict") == "cut").alias("cut"))
     return decided.unionByName(by_line).unionByName(by_cell)
 
 

@@ -52,6 +52,33 @@ def test_cut_rows(spark):
     assert (s.n_rows, s.n_cut) == (14, 3) and truncation.check(df.filter(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize(("text", "open_"), [
+    ("a (b [c] d", ["("]), ("<b>bold</b> and <i>on", ["<i>"]), ("<p>one<br>two", []), ("<div><b>x</div>", []), ("```\ncode", ["```"]), ("5 < 6 and 7 > 3", []), ("„so“ und „so", ["„"]), ('say "x" and "y', ['"']), ("a) b]", []),
+])
+def test_stack(text, open_):
+    assert truncation.open_at_end(text) == open_
+
+
+def test_stack_decides(monkeypatch):
+    """Texts that end well but leave something open are cut by the automaton alone."""
+    texts = ["He said “we will wait. And so it went.", "The list (first part. It ends here.", "<b>All of it. Done.", "```\nx = 1."]
+    assert [truncation.judge(t)[0] for t in texts] == ["cut"] * 4
+    monkeypatch.setattr(truncation, "open_at_end", lambda text: [])
+    assert [truncation.judge(t)[0] for t in texts] == ["complete"] * 4
+
+
+def test_baseline_of_the_source(spark):
+    """One occurrence within other texts is enough in a source without sure cuts, five times as many are asked at a source's limit."""
+    schema = "tbl string, row_key bigint, source string, text string"
+    steady = [("t", 1, "s", "Open points\nAll is well."), ("t", 2, "s", "Fine.\nOpen points")]
+    assert truncation.check(spark.createDataFrame(steady, schema)).filter("cut").count() == 0
+    shaky = [*steady, ("t", 3, "s", "It ends here...")]
+    assert {r.row_key for r in truncation.check(spark.createDataFrame(shaky, schema)).filter("cut").collect()} == {2, 3}
+    size = len("Fine.\nOpen points")
+    piled = [("t", 10 + k, "s", "(" + "x" * (size - 1)) for k in range(9)] + [("t", 30 + k, "s", "Open points\nAll is well.") for k in range(4)] + steady[1:]
+    assert 2 in {r.row_key for r in truncation.check(spark.createDataFrame(piled, schema)).filter("cut").collect()}
+
+
 # ---- packing -----------------------------------------------------------------------------------------------------
 
 
