@@ -196,10 +196,11 @@ def check(rows: DataFrame, support: int = 2) -> DataFrame:
     has = lambda name, least=support: F.coalesce(F.col(f"n_{name}") >= least, F.lit(False))
     shown = form(F.col("key"))
     personal = shown.rlike(r"@|0000|Xx")
-    alike = has("form") & personal & (has("tail") | tail.rlike(r"[0@]"))
+    least = F.greatest("need", F.lit(support))
+    alike = has("form", least) & personal & (has("tail") | tail.rlike(r"[0@]"))
     run = F.col("line").rlike(r"^\S{40,}$")
     mailed = F.col("line").rlike(MAIL_AT_END)
-    by_line = asked.join(known, "id", "left").select("tbl", "row_key", "source", (~(has("key", F.col("need")) | (has("label") & has("value")) | alike | run | mailed)).alias("cut"))
+    by_line = asked.join(known, "id", "left").select("tbl", "row_key", "source", (~(has("key", F.col("need")) | (has("label", least) & has("value", least)) | alike | run | mailed)).alias("cut"))
     cells = counted("cell").withColumnRenamed("n", "n_cell")
     personal_cell = F.col("key").rlike(r"(?i)@|\(at\)|\[at\]")
     by_cell = undecided.filter("cell IS NOT NULL").join(cells, "key", "left").select(
