@@ -54,23 +54,27 @@ def _year(y: Column) -> Column:
 
 
 def with_period(df: DataFrame, source: str, name: str = "period") -> DataFrame:
-    """Adds TTM, FYyyyy or QnFYyyyy where the text is such a period, else the text in capitals without blanks."""
-    c = F.col("__compact")
-    out = F.when(c == "", "unknown").when(c.isin("TTM", "LTM"), "TTM")
-    out = out.when(c.rlike(r"^FY'?\d{4}$"), F.concat(F.lit("FY"), F.right(c, F.lit(4))))
-    out = out.when(c.rlike(r"^FY'?\d{2}$"), F.concat(F.lit("FY"), _year(F.right(c, F.lit(2)))))
-    out = out.when(c.rlike(r"^\d{4}$"), F.concat(F.lit("FY"), c))
+    """Adds TTM, FYyyyy or QnFYyyyy where the text is such a period, else the text in capitals without blanks.
+
+    A quarter may be parted from its year by blanks, hyphens, underscores and slashes.
+    """
+    s, c = F.col("__spaced"), F.col("__compact")
+    out = F.when(s == "", "unknown").when(s.rlike(r"^(?:TTM|LTM|TRAILING TWELVE MONTHS)$"), "TTM")
+    out = out.when(s.rlike(r"^(?:FY ?'?)?\d{4}$"), F.concat(F.lit("FY"), F.right(s, F.lit(4))))
+    out = out.when(s.rlike(r"^FY ?'?\d{2}$"), F.concat(F.lit("FY"), _year(F.right(s, F.lit(2)))))
     quarter = r"^Q([1-4])(?:FY)?'?(\d{4}|\d{2})$"
     turned = r"^([1-4])Q(?:FY)?'?(\d{4}|\d{2})$"
-    last = r"^(?:FY)?'?(\d{4}|\d{2})-?Q([1-4])$"
+    last = r"^(?:FY)?'?(\d{4}|\d{2})Q([1-4])$"
     for pattern, q, y in ((quarter, 1, 2), (turned, 1, 2), (last, 2, 1)):
         out = out.when(c.rlike(pattern), F.concat(F.lit("Q"), F.regexp_extract(c, pattern, q), F.lit("FY"), _year(F.regexp_extract(c, pattern, y))))
-    compact = F.regexp_replace(F.upper(F.coalesce(F.col(source), F.lit(""))), r"(?U)\s+", "")
-    return df.withColumn("__compact", compact).withColumn(name, out.otherwise(c)).drop("__compact")
+    spaced = F.upper(F.regexp_replace(strip(F.coalesce(F.col(source), F.lit(""))), r"(?U)\s+", " "))
+    d = df.withColumn("__spaced", spaced).withColumn("__compact", F.regexp_replace("__spaced", r"[ _/\-]+", ""))
+    return d.withColumn(name, out.otherwise(F.replace(s, F.lit(" "), F.lit("")))).drop("__spaced", "__compact")
 
 
 def with_numeric(df: DataFrame, source: str, kind: str | None = None, name: str = "num") -> DataFrame:
     """Adds the amount as a double, null where the text is none; values of kind bool are none."""
+    # Currency words and signs.
     money = r"(?i)\b(?:usd|eur|gbp|cad|aud)\b|[$€£¥]"
     pattern = r"^([+-]?)(\d+(?:\.\d+)?|\.\d+)\s*([A-Za-z]*)$"
     s, body = F.col("__s"), F.col("__body")
@@ -85,7 +89,7 @@ def with_numeric(df: DataFrame, source: str, kind: str | None = None, name: str
     for u, f in MULTIPLIERS.items():
         factor = factor.when(F.col("__unit") == u, f)
     number = F.col("__digits").try_cast("double") * factor * F.when(F.col("__sign") == "-", -1.0).otherwise(1.0)
-    plain = F.when(body.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+$"), body.try_cast("double"))
+    plain = F.when(body.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), body.try_cast("double"))
     sign = F.when(F.col("__wrapped"), -1.0).otherwise(1.0) * F.when(F.col("__minus"), -1.0).otherwise(1.0)
     out = F.when(body.rlike(pattern), number).otherwise(plain) * sign
     if kind is not None:

@@ -34,7 +34,7 @@ def parse_answers(answers: DataFrame) -> DataFrame:
 def first_company(answers: DataFrame) -> DataFrame:
     """The company named by the first document (doc_ord) that names one."""
     named = answers.withColumn("n", F.trim(F.from_json("answer", METRICS)["company_name"]))
-    usable = named.filter((F.col("n") != "") & ~F.lower("n").isin("unknown", "none", "n/a"))
+    usable = named.filter((F.col("n") != "") & ~F.lower("n").isin("...", "unknown", "none"))
     return usable.agg(F.min_by("n", "doc_ord").alias("company_name"))
 
 

@@ -101,20 +101,17 @@ def gap_queries(claims: DataFrame, most: int = 5, size: int = 500) -> DataFrame:
 
 
 def bracketed(narrative: Column, texts: Column) -> Column:
-    """The narrative with the first occurrence of each text in brackets; texts that do not occur are listed behind it."""
+    """The narrative with the first occurrence of each text in brackets; behind it, the first five texts that the result doesn't hold in brackets."""
 
-    def step(acc: Column, text: Column) -> Column:
-        at = F.instr(acc["s"], text)
-        hit = F.concat(F.substring(acc["s"], F.lit(1), at - 1), F.lit("["), text, F.lit("]"), F.substring(acc["s"], at + F.length(text), F.length(acc["s"])))
-        return F.struct(F.when(at > 0, hit).otherwise(acc["s"]).alias("s"), F.when(at > 0, acc["m"]).otherwise(F.concat(acc["m"], F.array(F.substring(text, 1, 120)))).alias("m"))
+    def step(content: Column, text: Column) -> Column:
+        at = F.when(text == "", 0).otherwise(F.instr(content, text))
+        hit = F.concat(F.substring(content, F.lit(1), at - 1), F.lit("["), text, F.lit("]"), F.substring(content, at + F.length(text), F.length(content)))
+        return F.when(at > 0, hit).otherwise(content)
 
-    start = F.struct(narrative.alias("s"), F.array().cast("array<string>").alias("m"))
-
-    def close(acc: Column) -> Column:
-        more = F.concat(acc["s"], F.lit("\n\n[Unverified claims: "), F.array_join(F.slice(acc["m"], 1, 5), "; "), F.lit("]"))
-        return F.when(F.size(acc["m"]) > 0, more).otherwise(acc["s"])
-
-    return F.aggregate(texts, start, step, close)
+    content = F.aggregate(texts, narrative, step)
+    missing = F.filter(texts, lambda t: ~F.contains(content, F.concat(F.lit("["), t, F.lit("]"))))
+    notes = F.array_join(F.transform(F.slice(missing, 1, 5), lambda t: F.substring(t, 1, 120)), "; ")
+    return F.when(F.size(missing) > 0, F.concat(F.regexp_replace(content, r"(?U)\s+$", ""), F.lit("\n\n[Unverified claims: "), notes, F.lit("]"))).otherwise(content)
 
 
 def citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:

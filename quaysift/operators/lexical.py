@@ -60,12 +60,18 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, config: Engin
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The k best of each query with rank from 0; scores equal to nine places tie and go by key."""
+    """The k best of each query with rank from 0; scores equal to nine places tie and go by key.
+
+    The limit stands on the row number itself, so that each task drops what is not among its own k best before the shuffle.
+    """
     by = W.partitionBy("qid").orderBy(F.round(score, 9).desc(), F.col("key"))
-    return scored.withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def positive_or_all(scored: DataFrame) -> DataFrame:
-    """Positive scores, or all of a query's rows where none is positive."""
-    best = F.max(F.col("score")).over(W.partitionBy("qid"))
-    return scored.withColumn("best", best).filter((F.col("score") > 0) | (F.col("best") <= 0)).drop("best")
+    """Positive scores, or all of a query's rows where none is positive.
+
+    Whether a query has a positive score is a partial aggregate of one row a query; a query's rows are never gathered.
+    """
+    best = scored.groupBy("qid").agg(F.max("score").alias("best"))
+    return scored.join(best, "qid").filter((F.col("score") > 0) | (F.col("best") <= 0)).drop("best")

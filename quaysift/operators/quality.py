@@ -19,21 +19,25 @@ def claim_rates(claims: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-_FLAG = r"(?i)^\s*(.+?)\s+discrepancy\s*\(([^)]*)\)"
+_FLAG = r"(?i)(.+?)\s+discrepancy\s+\(([^)]+)\)"
 
 
 def flag_label(flag: Column) -> Column:
-    """Metric named by a flag, lower case, blanks squeezed; empty where it names none."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_extract(flag, _FLAG, 1)), r"\s+", " "))
+    """Metric named by a flag, else its whole text; lower case, blanks squeezed."""
+    named = F.when(flag.rlike(_FLAG), F.regexp_extract(flag, _FLAG, 1)).otherwise(flag)
+    return F.regexp_replace(F.lower(F.btrim(named, F.lit(" \t\r\n"))), r"\s+", " ")
 
 
 def flag_period(flag: Column) -> Column:
-    """Period named by a flag, lower case without blanks."""
+    """Period named by a flag, lower case without blanks; empty where it names none."""
     return F.regexp_replace(F.lower(F.regexp_extract(flag, _FLAG, 2)), r"\s+", "")
 
 
 def flag_scores(predicted: DataFrame, expected: DataFrame, by: str = "case_id") -> DataFrame:
-    """(by, tp, fp, fn) where every flag has a signature: matches are counted signature by signature."""
+    """(by, tp, fp, fn), counted signature by signature; a flag without metric and period has its text for a signature.
+
+    ``greedy_matches`` also pairs flags of which one contains the other.
+    """
     p = predicted.groupBy(by, flag_label(F.col("flag")).alias("label"), flag_period(F.col("flag")).alias("period")).agg(F.count("*").alias("np"))
     e = expected.groupBy(by, flag_label(F.col("flag")).alias("label"), flag_period(F.col("flag")).alias("period")).agg(F.count("*").alias("ne"))
     both = p.join(e, [by, "label", "period"], "full_outer")
@@ -52,7 +56,7 @@ def precision_recall(scores: DataFrame) -> DataFrame:
 
 
 def _signature(flag: str) -> tuple[str, str] | None:
-    m = re.match(r"\s*(.+?)\s+discrepancy\s*\(([^)]*)\)", flag, re.I)
+    m = re.search(r"(.+?)\s+discrepancy\s+\(([^)]+)\)", flag, re.I)
     return (re.sub(r"\s+", " ", m[1].lower()).strip(), re.sub(r"\s+", "", m[2].lower())) if m else None
 
 

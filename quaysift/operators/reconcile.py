@@ -82,9 +82,9 @@ def flags(worst: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     d = N.with_shown(N.with_shown(worst, "a_num", "a_shown"), "b_num", "b_shown")
 
     def side(s: str):
-        number = F.when(F.col(f"{s}_num").isNull(), "(unparseable)").otherwise(F.concat(F.lit("("), F.col(f"{s}_shown"), F.lit(")")))
+        number = F.when(F.col(f"{s}_num").isNull(), "(unparseable)").otherwise(F.concat(F.lit("(norm="), F.col(f"{s}_shown"), F.lit(")")))
         return F.concat(F.coalesce(F.col(f"{s}_doc"), F.lit("unknown")), F.lit("="), F.col(f"{s}_raw"), F.lit(" "), number)
 
     text = F.concat(N.label(F.col("metric")), F.lit(" discrepancy ("), F.col("period"), F.lit("): "), side("a"), F.lit(" vs "), side("b"))
-    delta = F.when(F.col("delta").isNull(), "").otherwise(F.format_string("; delta %.2f%%", F.col("delta") * 100))
+    delta = F.when(F.col("delta").isNull(), "").otherwise(F.format_string(", delta=%.2f%%", F.col("delta") * 100))
     return d.select(*by, "metric", "period", F.concat(text, delta).alias("flag"))

@@ -15,27 +15,26 @@ from quaysift.config import DEFAULT, EngineConfig
 from quaysift.functions import text as X
 from quaysift.operators import lexical
 
-#: Own term lists: section title -> words added to its query.
+#: Section title -> words added to its query.
 EXPANSIONS = {
-    "executive summary": "overview revenue growth EBITDA transaction highlights",
-    "key financial metrics": "revenue EBITDA margin net income ARR debt capex",
-    "financial metrics": "revenue EBITDA margin net income cash flow",
-    "market overview": "market size growth TAM industry segment demand",
-    "company overview": "business products services locations history",
-    "business overview": "business model products customers channels",
-    "competitive landscape": "competitors share positioning barriers",
-    "management team": "management directors leadership organisation headcount",
-    "risks": "risk exposure concentration litigation covenant",
-    "investment highlights": "strengths growth margin pipeline",
-    "customer": "customers churn retention contracts",
-    "product": "product technology roadmap platform",
+    "executive summary": "overview highlights key findings investment thesis company snapshot transaction summary",
+    "key financial metrics": "revenue EBITDA margin ARR ARR growth gross margin operating income cash flow free cash flow FCF net income NRR churn LTV CAC burn runway valuation multiples",
+    "financial metrics": "revenue EBITDA margin ARR gross margin operating income cash flow net income FCF",
+    "market overview": "TAM SAM SOM market size growth rate industry competitive landscape market share addressable market",
+    "company overview": "business description products services founding headquarters customers operations history",
+    "business overview": "products services customers go-to-market operations model",
+    "competitive landscape": "competitors differentiation moat market share positioning rivals",
+    "management team": "CEO CFO founders executives leadership board background experience",
+    "risks": "risk factors challenges headwinds customer concentration regulatory litigation dependency",
+    "investment highlights": "strengths opportunities growth drivers competitive advantage thesis",
+    "customer": "customers retention NRR churn logos cohort concentration expansion",
+    "product": "product roadmap features technology platform architecture",
 }
-_GROUPS = (
-    (("financial", "metric", "kpi", "ebitda"), "key financial metrics"),
-    (("market", "industry", "tam"), "market overview"),
-    (("management", "team", "leadership"), "management team"),
-    (("risk",), "risks"),
-)
+#: Words in any other query -> the title whose words are added too.
+TRIGGERS = {
+    "key financial metrics": ("financial", "metric", "kpi", "ebitda"), "market overview": ("market", "industry", "tam"),
+    "management team": ("management", "team", "leadership"), "risks": ("risk",),
+}
 
 
 class Embedder(Protocol):
@@ -45,23 +44,22 @@ class Embedder(Protocol):
 
 
 def expand_query(query: str) -> str:
-    """The query with the words of its section and of keyword groups that it lacks."""
+    """The query followed by the words of its titles which it lacks, each once, in their order.
+
+    A query that is a title has that one; any other has the first title that is part of it or of which it is part, and
+    those whose trigger words it contains.
+    """
     query = query.strip()
-    if not query:
-        return ""
     key = query.lower()
     if key in EXPANSIONS:
-        blocks = [EXPANSIONS[key]]
+        titles = [key]
     else:
-        first = next((words for title, words in EXPANSIONS.items() if title in key or key in title), None)
-        blocks = [first] if first else []
-        blocks += [EXPANSIONS[title] for words, title in _GROUPS if any(w in key for w in words)]
-    seen, out = set(key.split()), [query]
-    for word in " ".join(blocks).split():
-        if word.lower() not in seen:
-            seen.add(word.lower())
-            out.append(word)
-    return " ".join(out)
+        titles = [t for t in EXPANSIONS if key and (t in key or key in t)][:1]
+        titles += [t for t, words in TRIGGERS.items() if any(w in key for w in words)]
+    fresh: dict[str, str] = {}
+    for word in (w for t in titles for w in EXPANSIONS[t].split()):
+        fresh.setdefault(word.lower(), word)
+    return " ".join([query, *(word for low, word in fresh.items() if low not in key.split())])
 
 
 def hash_weights(docs: DataFrame, key: str, text: str, dim: int = DEFAULT.embed_dim, scope: tuple[str, ...] = ()) -> DataFrame:

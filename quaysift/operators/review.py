@@ -65,14 +65,17 @@ def job_guard(status: Column, has_memo: Column) -> Column:
 
 
 def error_code(message: Column) -> Column:
-    """Class of an error text, first rule first."""
+    """Class of an error text, first rule first (fixed values)."""
     m = F.lower(F.coalesce(message, F.lit("")))
+    limited = m.rlike("429|resource_exhausted") | (m.contains("rate") & m.contains("limit"))
     return (
-        F.when(m.rlike("429|quota|rate limit|resource_exhausted|resource exhausted"), "rate_limited").when(m.rlike("api key|permission|unauth|401|403"), "auth_error")
-        .when(m.rlike("timeout|timed out|deadline"), "timeout").when(m.rlike("no such file|not found|no documents|no supported"), "no_documents").otherwise("pipeline_error")
+        F.when(m.rlike("gemini_api_key|api key"), "missing_api_key").when(limited, "rate_limited")
+        .when(m.contains("embedding"), "embedding_error").when(m.contains("timeout"), "timeout").otherwise("pipeline_error")
     )
 
 
-def retryable(message: Column) -> Column:
-    """Whether an error text names a passing condition."""
-    return F.lower(F.coalesce(message, F.lit(""))).rlike("429|500|502|503|504|quota|rate limit|resource_exhausted|unavailable|timeout|timed out|deadline|connection")
+def retryable(message: Column, code: Column | None = None) -> Column:
+    """Whether an error's text or its status code names a passing condition (fixed values)."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    by_text = m.rlike("429|resource_exhausted|503|unavailable|timeout|500|internal|11001|getaddrinfo|connection|network") | (m.contains("rate") & m.contains("limit"))
+    return by_text if code is None else by_text | F.coalesce(code.isin(408, 429, 500, 502, 503, 504), F.lit(False))

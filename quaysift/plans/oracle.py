@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from quaysift.functions.normalize import METRIC_ALIASES
-from quaysift.operators.retrieval import expand_query
 from quaysift.plans.queries import SECTIONS
 
 # every kind of white space, as the engine's (?U)\s
@@ -20,7 +18,13 @@ def strip(c: str) -> str:
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-_ALIASES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in METRIC_ALIASES.items()) + "}"
+# Fixed values, stated here once more so that the statements rest on nothing of the engine: canonical metric -> spellings.
+_SPELLINGS = {
+    "revenue": "rev revenue revenues sales net_sales netsales total_revenue total_revenues", "ebitda": "ebitda adj_ebitda adjusted_ebitda",
+    "net_income": "net_income netincome net_profit profit earnings", "gross_profit": "gross_profit", "gross_margin": "gross_margin",
+    "operating_income": "operating_income operating_profit", "arr": "arr", "mrr": "mrr",
+}
+_ALIASES = "MAP {" + ", ".join(f"'{s.replace('_', ' ')}': '{k}'" for k, v in _SPELLINGS.items() for s in v.split()) + "}"
 
 
 def metric(c: str) -> str:
@@ -31,19 +35,19 @@ def metric(c: str) -> str:
 
 
 def period(c: str) -> str:
+    """The period rules in SQL: s is the text with single blanks in capitals, p the same without blanks, hyphens, underscores and slashes."""
     raw = strip(f"coalesce({c}, '')")
     y = lambda g: f"CASE WHEN length({g}) = 2 THEN CASE WHEN CAST({g} AS INT) < 80 THEN '20' ELSE '19' END || {g} ELSE {g} END"
     ex = lambda p, g: f"regexp_extract(p, '{p}', {g})"
-    q1, q2, q3 = "^Q([1-4])(?:FY)?''?(\\d{4}|\\d{2})$", "^([1-4])Q(?:FY)?''?(\\d{4}|\\d{2})$", "^(?:FY)?''?(\\d{4}|\\d{2})-?Q([1-4])$"
+    q1, q2, q3 = "^Q([1-4])(?:FY)?''?(\\d{4}|\\d{2})$", "^([1-4])Q(?:FY)?''?(\\d{4}|\\d{2})$", "^(?:FY)?''?(\\d{4}|\\d{2})Q([1-4])$"
     return (
-        "(SELECT CASE WHEN r = '' THEN 'unknown' WHEN p IN ('TTM', 'LTM') THEN 'TTM' "
-        "WHEN regexp_matches(p, '^FY''?\\d{4}$') THEN 'FY' || right(p, 4) "
-        f"WHEN regexp_matches(p, '^FY''?\\d{{2}}$') THEN 'FY' || {y('right(p, 2)')} "
-        "WHEN regexp_matches(p, '^\\d{4}$') THEN 'FY' || p "
+        "(SELECT CASE WHEN s = '' THEN 'unknown' WHEN s IN ('TTM', 'LTM', 'TRAILING TWELVE MONTHS') THEN 'TTM' "
+        "WHEN regexp_matches(s, '^(FY ?''?)?\\d{4}$') THEN 'FY' || right(s, 4) "
+        f"WHEN regexp_matches(s, '^FY ?''?\\d{{2}}$') THEN 'FY' || {y('right(s, 2)')} "
         f"WHEN regexp_matches(p, '{q1}') THEN 'Q' || {ex(q1, 1)} || 'FY' || {y(ex(q1, 2))} "
         f"WHEN regexp_matches(p, '{q2}') THEN 'Q' || {ex(q2, 1)} || 'FY' || {y(ex(q2, 2))} "
         f"WHEN regexp_matches(p, '{q3}') THEN 'Q' || {ex(q3, 2)} || 'FY' || {y(ex(q3, 1))} "
-        f"ELSE p END FROM (SELECT r, regexp_replace(upper(r), '{WS}+', '', 'g') AS p FROM (SELECT {raw} AS r)))"
+        f"ELSE replace(s, ' ', '') END FROM (SELECT s, regexp_replace(s, '[ _/-]+', '', 'g') AS p FROM (SELECT upper(regexp_replace({raw}, '{WS}+', ' ', 'g')) AS s)))"
     )
 
 
@@ -54,7 +58,7 @@ def numeric(c: str, kind: str) -> str:
     unit = f"lower(regexp_extract(b, '{body}', 3))"
     factor = f"CASE {unit} WHEN '' THEN 1e0 WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'mm' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 't' THEN 1e12 END"
     number = f"try_cast(regexp_extract(b, '{body}', 2) AS DOUBLE) * ({factor}) * CASE WHEN regexp_extract(b, '{body}', 1) = '-' THEN -1e0 ELSE 1e0 END"
-    plain = r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+$"
+    plain = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
     return f"""(SELECT CASE WHEN coalesce({kind}, '') <> 'bool' THEN
       (CASE WHEN regexp_matches(b, '{body}') AND ({factor}) IS NOT NULL THEN {number} WHEN regexp_matches(b, '{plain}') THEN try_cast(b AS DOUBLE) END)
       * CASE WHEN wrapped THEN -1e0 ELSE 1e0 END * CASE WHEN s4 LIKE '-%' THEN -1e0 ELSE 1e0 END END
@@ -83,13 +87,22 @@ def _shown(n: str) -> str:
 
 
 def _side(s: str) -> str:
-    return f"coalesce({s}_doc, 'unknown') || '=' || {s}_raw || ' ' || CASE WHEN {s}_num IS NULL THEN '(unparseable)' ELSE '(' || {_shown(s + '_num')} || ')' END"
+    return f"coalesce({s}_doc, 'unknown') || '=' || {s}_raw || ' ' || CASE WHEN {s}_num IS NULL THEN '(unparseable)' ELSE '(norm=' || {_shown(s + '_num')} || ')' END"
 
 
 _LABEL = "array_to_string(list_transform(string_split(replace(metric, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
-FLAG = f"{_LABEL} || ' discrepancy (' || period || '): ' || {_side('a')} || ' vs ' || {_side('b')} || CASE WHEN delta IS NULL THEN '' ELSE printf('; delta %.2f%%', delta * 100) END"
-
-QUERY_VALUES = ", ".join(f"({i}, {quoted(expand_query(t))})" for i, t in enumerate(SECTIONS))
+FLAG = f"{_LABEL} || ' discrepancy (' || period || '): ' || {_side('a')} || ' vs ' || {_side('b')} || CASE WHEN delta IS NULL THEN '' ELSE printf(', delta=%.2f%%', delta * 100) END"
+
+# The expanded queries of the six sections, written out by the rules.
+_EXPANDED = (
+    "Executive Summary overview highlights key findings investment thesis company snapshot transaction",
+    "Market Overview TAM SAM SOM size growth rate industry competitive landscape share addressable",
+    "Business Model",
+    "Financial Performance revenue EBITDA margin ARR growth gross operating income cash flow free FCF net NRR churn LTV CAC burn runway valuation multiples",
+    "Management Team CEO CFO founders executives leadership board background experience",
+    "Key Risks risk factors challenges headwinds customer concentration regulatory litigation dependency",
+)
+QUERY_VALUES = ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(_EXPANDED))
 BM25 = f"""quotes AS (SELECT evidence_key, quote FROM evidence_chunks WHERE quote IS NOT NULL),
   toks AS MATERIALIZED (SELECT evidence_key, regexp_extract_all(lower(quote), '{TOKEN}') AS t FROM quotes),
   post AS MATERIALIZED (SELECT evidence_key, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT evidence_key, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2),
@@ -158,9 +171,11 @@ SQL = {
     "nonblank_chunks": r"SELECT chunk_key, doc_name, page, pos FROM doc_chunks WHERE regexp_matches(text, '\S')",
     "evidence_projection": r"SELECT chunk_key, string_split(doc_name, '::')[1] AS doc, greatest(page, 1) AS page, substring(text, 1, 1500) AS quote FROM doc_chunks WHERE regexp_matches(text, '\S')",
     "documents_by_run": "SELECT run_id, count(DISTINCT doc_name) AS n_documents, count(*) AS n_chunks FROM doc_chunks GROUP BY 1",
-    "section_slots": """SELECT DISTINCT section_title, trim(regexp_replace(upper(section_title), '[^A-Za-z0-9_]', '_', 'g'), '_') AS slot_key,
-      CASE WHEN lower(section_title) LIKE '%market%' THEN 'MARKET_OVERVIEW' WHEN lower(section_title) LIKE '%business%' THEN 'BUSINESS_OVERVIEW' WHEN lower(section_title) LIKE '%financial%' THEN 'FINANCIAL_METRICS'
-      WHEN lower(section_title) LIKE '%management%' THEN 'MANAGEMENT' WHEN lower(section_title) LIKE '%risk%' THEN 'RISKS' END AS slot_alias FROM evidence_chunks WHERE section_title IS NOT NULL""",
+    "section_slots": """WITH s AS (SELECT run_id, section_title AS title, min(evidence_key) AS ord FROM evidence_chunks WHERE section_title IS NOT NULL GROUP BY 1, 2),
+      own AS (SELECT run_id, trim(regexp_replace(upper(trim(title)), '[^A-Za-z0-9_]+', '_', 'g'), '_') AS slot, arg_max(title, ord) AS title FROM s GROUP BY 1, 2),
+      words(word, slot) AS (VALUES ('market', 'MARKET_OVERVIEW'), ('business', 'BUSINESS_OVERVIEW'), ('financial', 'KEY_FINANCIAL_METRICS'), ('management', 'MANAGEMENT_TEAM'), ('risk', 'RISKS')),
+      worded AS (SELECT run_id, slot, arg_min(title, ord) AS title FROM s JOIN words ON contains(lower(title), word) GROUP BY 1, 2)
+      SELECT run_id, slot, title FROM own UNION ALL SELECT * FROM worded WHERE (run_id, slot) NOT IN (SELECT (run_id, slot) FROM own)""",
     "document_text": """SELECT run_id, doc_name, length(t) AS n_chars, md5(t) AS text_md5 FROM
       (SELECT run_id, doc_name, string_agg(text, chr(10) || chr(10) ORDER BY pos, chunk_key) AS t FROM doc_chunks WHERE text IS NOT NULL GROUP BY 1, 2)""",
     "canonical_metrics": f"SELECT metric_name, {metric('metric_name')} AS metric FROM (SELECT metric_name FROM financial_evidence UNION SELECT metric FROM financials)",
@@ -203,8 +218,8 @@ SQL = {
       SELECT * FROM hit UNION ALL SELECT DISTINCT section, doc, page FROM ev ANTI JOIN hit USING (section)""",
     "appendix_rows": f"""WITH {CLAIMS},
       c AS (SELECT section, section_title, claim_ord, claim_id, status, CASE WHEN len(citation_ids) > 0 THEN citation_ids[1] END AS eid FROM verified),
-      rows AS (SELECT c.section, 'claim' AS entry_type, claim_ord AS o1, claim_id, status, c.eid AS evidence_id, doc, page, CASE WHEN length(quote) > 200 THEN substring(quote, 1, 200) || '...' ELSE quote END AS quote,
-          CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS VARCHAR) AS value, claim_id || chr(1) || coalesce(c.eid, '') AS key
+      rows AS (SELECT c.section, 'claim' AS entry_type, claim_ord AS o1, claim_id, status, c.eid AS evidence_id, CASE WHEN c.eid IS NULL THEN '(uncited)' ELSE doc END AS doc, CASE WHEN c.eid IS NULL THEN 1 ELSE page END AS page,
+          CASE WHEN c.eid IS NULL THEN '' WHEN length(quote) > 200 THEN substring(quote, 1, 200) || '...' ELSE quote END AS quote, c.section_title || ' · ' || claim_id || ' [' || status || ']' AS metric, CAST(NULL AS VARCHAR) AS value, claim_id || chr(1) || coalesce(c.eid, '') AS key
         FROM c LEFT JOIN ev e ON c.section = e.section AND c.eid = e.eid WHERE c.eid IS NULL OR doc IS NOT NULL
         UNION ALL SELECT run_id || '|Financial Performance', 'fin', evidence_id, NULL, NULL, NULL, doc_name, page_number, CASE WHEN length(source_quote) > 200 THEN substring(source_quote, 1, 200) || '...' ELSE source_quote END,
           metric_name, value, coalesce(doc_name, '') || chr(1) || coalesce(CAST(page_number AS VARCHAR), '') || chr(1) || coalesce(metric_name, '') FROM financial_evidence)
@@ -228,9 +243,8 @@ SQL = {
       arg_max_null(message, {'s': seq, 'r': received_at, 'k': event_key}) AS message,
       CASE arg_max_null(status, {'s': seq, 'r': received_at, 'k': event_key}) WHEN 'pending' THEN 202 WHEN 'running' THEN 202 WHEN 'error' THEN 500 ELSE 200 END AS code FROM job_events GROUP BY 1""",
     "unseen_events": f"""WITH {EVENTS} SELECT job_id, seq, step, status, message FROM evs JOIN (SELECT job_id, floor(avg(seq)) AS seen FROM evs GROUP BY 1) USING (job_id) WHERE seq > seen""",
-    "error_classes": """SELECT event_key, CASE WHEN regexp_matches(m, '429|quota|rate limit|resource_exhausted|resource exhausted') THEN 'rate_limited' WHEN regexp_matches(m, 'api key|permission|unauth|401|403') THEN 'auth_error'
-      WHEN regexp_matches(m, 'timeout|timed out|deadline') THEN 'timeout' WHEN regexp_matches(m, 'no such file|not found|no documents|no supported') THEN 'no_documents' ELSE 'pipeline_error' END AS error_code,
-      regexp_matches(m, '429|500|502|503|504|quota|rate limit|resource_exhausted|unavailable|timeout|timed out|deadline|connection') AS retryable
-      FROM (SELECT event_key, lower(coalesce(message, '')) AS m FROM job_events WHERE status = 'error')""",
+    "error_classes": """SELECT event_key, CASE WHEN contains(m, 'gemini_api_key') OR contains(m, 'api key') THEN 'missing_api_key' WHEN contains(m, '429') OR contains(m, 'resource_exhausted') OR (contains(m, 'rate') AND contains(m, 'limit')) THEN 'rate_limited'
+      WHEN contains(m, 'embedding') THEN 'embedding_error' WHEN contains(m, 'timeout') THEN 'timeout' ELSE 'pipeline_error' END AS error_code,
+      regexp_matches(m, '429|resource_exhausted|503|unavailable|timeout|500|internal|11001|getaddrinfo|connection|network') OR (contains(m, 'rate') AND contains(m, 'limit')) AS retryable FROM (SELECT event_key, lower(coalesce(message, '')) AS m FROM job_events WHERE status = 'error')""",
     "progress_stream": "SELECT job_id, status, count(*) AS n_events, max(seq) AS last_seq FROM job_events GROUP BY 1, 2",
 }

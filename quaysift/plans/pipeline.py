@@ -94,7 +94,7 @@ def run(chunks: DataFrame, titles: list[str], config: EngineConfig = DEFAULT) ->
     sections = order.join(summary, "section", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.3)))
     figures = financial.labelled_figures(chunks, ("run_id",)).withColumn("evidence_id", F.xxhash64("run_id", "doc_name", "page", "source_quote")).withColumn("value_kind", F.lit("str"))
     flags = reconcile.flags(reconcile.worst_pairs(reconcile.normalised(figures), config.relative_tolerance))
-    figure_section = next((t for t in titles if any(w in t.lower() for w in ("financial", "metric", "kpi", "revenue", "ebitda", "earnings", "performance"))), titles[0])
+    figure_section = next((t for t in titles if any(w in t.lower() for w in ("financial", "metric", "kpi", "figure", "performance", "historical", "accounting"))), titles[0])
     in_memo = figures.select(section_key(figure_section).alias("section"), F.lit(titles.index(figure_section)).alias("section_ord"), F.col("pos").cast("int").alias("fig_ord"), "metric_name", "value", "fiscal_year", "source_quote", F.col("page_number" if "page_number" in figures.columns else "page").alias("page"), F.col("doc_name").alias("doc"))
-    book = appendix.build(claims.join(order, "section"), evidence, in_memo)
+    book = appendix.build(claims.withColumn("title", F.col("section.title")).join(order, "section"), evidence, in_memo)
     return {"index": index, "claims": claims, "evidence": evidence, "sections": sections, "figures": figures, "flags": flags, "appendix": book, "citations": grounding.citations(claims, evidence)}

@@ -33,8 +33,10 @@ def documents_by_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_slots(spark: SparkSession, sf: str) -> DataFrame:
-    titles = table(spark, sf, "evidence_chunks").select("section_title").filter("section_title IS NOT NULL").distinct()
-    return titles.select("section_title", appendix.section_key(F.col("section_title")).alias("slot_key"), appendix.section_alias(F.col("section_title")).alias("slot_alias"))
+    """Which of a run's section titles fills each slot of its memo; sections in the order of their first evidence."""
+    rows = table(spark, sf, "evidence_chunks").filter("section_title IS NOT NULL")
+    sections = rows.groupBy("run_id", F.col("section_title").alias("title")).agg(F.min("evidence_key").alias("section_ord"))
+    return appendix.section_slots(sections, ["run_id"])
 
 
 def document_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +225,7 @@ def _appendix(spark: SparkSession, sf: str, compat: bool) -> DataFrame:
     verified, evidence = _verified(spark, sf)
     ords = {t: i for i, t in enumerate(SECTIONS)}
     number = F.create_map(*[x for t, i in ords.items() for x in (F.lit(t), F.lit(i))])
-    claims = verified.withColumn("section_ord", F.coalesce(F.try_element_at(number, F.col("section_title")), F.lit(99)))
+    claims = verified.withColumn("title", F.col("section_title")).withColumn("section_ord", F.coalesce(F.try_element_at(number, F.col("section_title")), F.lit(99)))
     figures = table(spark, sf, "financial_evidence").select(
         F.concat_ws("|", "run_id", F.lit("Financial Performance")).alias("section"), F.lit(3).alias("section_ord"), F.col("evidence_id").cast("int").alias("fig_ord"),
         "metric_name", "value", "fiscal_year", "source_quote", F.col("page_number").alias("page"), F.col("doc_name").alias("doc"),

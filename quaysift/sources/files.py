@@ -181,12 +181,15 @@ def scan_folder(spark: SparkSession, folder: str, pdf_reader: PdfReader | None =
 
 
 def template_headers(paragraphs: DataFrame) -> list[str]:
-    """Section titles of a template (ord, paragraph): short lines that are no placeholders; the default six where none is found."""
+    """Section titles of a template (ord, paragraph): short lines that are no placeholders; the default six where none is found.
+
+    A template is one document; its titles come to the driver whole. The openings that are passed over are fixed values.
+    """
     kept = paragraphs.filter(
         (F.trim("paragraph") != "") & (F.length(F.trim("paragraph")) < 80) & ~F.col("paragraph").contains("{{")
-        & ~F.lower(F.trim("paragraph")).rlike(r"^(?:appendix|prepared|confidential|date|company|generated)")
+        & ~F.trim("paragraph").rlike(r"^(?:MEMORANDUM|Company:|Summary:|Appendix|Investment Memo:)") & ~F.lower(F.trim("paragraph")).startswith("appendix")
     )
-    return [r.t for r in kept.select(F.trim("paragraph").alias("t")).orderBy("ord").limit(200).collect()] or list(DEFAULT_SECTIONS)
+    return [r.t for r in kept.select(F.trim("paragraph").alias("t")).orderBy("ord").collect()] or list(DEFAULT_SECTIONS)
 
 
 #: Sections of a memo without a template.

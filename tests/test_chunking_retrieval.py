@@ -14,7 +14,16 @@ from quaysift.operators import chunking, lexical, retrieval
 def test_pieces_cover_the_text(text, size):
     parts = chunking.recursive_split(text, size, 0)
     assert all(0 < len(p) <= size for p in parts)
-    assert re.sub(r"\s", "", "".join(parts)) == re.sub(r"\s", "", text)
+    # repeated separators drop out, all else is there once and in order
+    assert re.sub(r"[^ab]", "", "".join(parts)) == re.sub(r"[^ab]", "", text)
+
+
+def test_nested_overlap():
+    """Overlap is laid within the node that was too large, then among its neighbours."""
+    text = "aaaa\n\n" + "bbbbbb. cccccc. dddddd\n\neeee"
+    assert chunking.recursive_split(text, 10, 3) == ["aaaa", "aaabbbbbb.", "bb.cccccc.", "cc.dddddd", "dddeeee"]
+    assert chunking.recursive_split("x. . . y", 4, 0) == ["x. y"]
+    assert chunking.recursive_split("aaaa bbbb. ", 9, 0) == ["aaaa", "bbbb."]
 
 
 def test_split_rules():
@@ -40,8 +49,7 @@ def test_expand_and_windows(spark):
     assert {"c1_part0", "c2_rows0", "c4"} <= ids and not any(i.startswith(("c0", "c3")) for i in ids)
     w = spark.createDataFrame([("a" * 200,)], "t string").select(X.char_windows(F.col("t"), 80, 12).alias("w")).first().w
     assert [len(x) for x in w] == [80, 80, 64] and chunking.windows("a" * 200, 80, 12) == w
-    folded = spark.createDataFrame([(["aaaa. ", "bbbb. ", "cc"],)], "p array<string>").select(chunking.overlap_fold(F.col("p"), 3).alias("o")).first().o
-    assert folded == chunking.with_overlap(["aaaa. ", "bbbb. ", "cc"], 3)
+    assert chunking.with_overlap(["aaaa. ", "bbbb. ", "cc"], 3) == ["aaaa. ", "a. bbbb. ", "b. cc"]
 
 
 def test_hash_embedding_against_python(spark):
@@ -84,7 +92,9 @@ def test_fusion_and_expansion(spark):
     swapped = {r.key: r.score for r in retrieval.rrf([b, a]).collect()}
     assert fused == swapped and math.isclose(fused[8], 1 / 61 + 1 / 62) and math.isclose(fused[9], 1 / 62)
     assert retrieval.expand_query("") == "" and "EBITDA" in retrieval.expand_query("Key Financial Metrics") and retrieval.expand_query("Weather") == "Weather"
-    assert "exposure" in retrieval.expand_query("Key risk factors")
+    assert "headwinds" in retrieval.expand_query("Key risk factors")
+    assert retrieval.expand_query("Management Team") == "Management Team CEO CFO founders executives leadership board background experience"
+    assert retrieval.expand_query("Market risks").split()[2:4] == ["risk", "factors"] and "TAM" in retrieval.expand_query("Market risks")
 
 
 def test_cosine_edges(spark):

@@ -10,10 +10,10 @@ from quaysift.functions import quantities as Q
 AMOUNTS = [
     ("$52.9M", 52.9e6), ("52.9B", 52.9e9), ("$48,400,000", 48.4e6), ("(1.2M)", -1.2e6), ("$(1.2M)", -1.2e6), ("$(450K)", -450e3), ("58%", 58.0),
     ("1,850,000", 1.85e6), ("15%", 15.0), ("$52,900,000,000", 52.9e9), ("", None), ("52.9 million", None), ("5mm", 5e6), ("2bn", 2e9), ("1t", 1e12),
-    ("USD 5M", 5e6), ("-$5", -5.0), ("(5%)", -5.0), ("1e6", 1e6), ("5d", None), (None, None), ("n/a", None),
+    ("USD 5M", 5e6), ("-$5", -5.0), ("(5%)", -5.0), ("1e6", 1e6), ("5d", None), (None, None), ("n/a", None), ("5.", 5.0), ("-5.", -5.0),
 ]
 METRICS = [("rev", "revenue"), ("Net Sales", "revenue"), ("EBITDA", "ebitda"), ("Total Revenue", "revenue"), ("Adj. EBITDA", "ebitda"), ("Net-Income", "net_income"), ("EBITDA margin", "ebitda_margin"), ("", "unknown"), (None, "unknown")]
-PERIODS = [
+PERIODS = [("Trailing  Twelve Months", "TTM"), ("2024/Q3", "Q3FY2024"), ("2024_Q3", "Q3FY2024"), ("Q1-2024", "Q1FY2024"), ("Q3/24", "Q3FY2024"), ("half-year 24", "HALF-YEAR24"),
     ("FY24", "FY2024"), ("FY2024", "FY2024"), ("TTM", "TTM"), ("LTM", "TTM"), ("Q1'24", "Q1FY2024"), ("1Q24", "Q1FY2024"), ("2024Q3", "Q3FY2024"), ("2024 Q3", "Q3FY2024"),
     ("FY24 Q3", "Q3FY2024"), ("2024-Q3", "Q3FY2024"), ("FY85", "FY1985"), ("2023", "FY2023"), ("", "unknown"), (None, "unknown"), ("H1 2024", "H12024"),
 ]

@@ -27,7 +27,7 @@ def test_flags(spark, rows, n):
 
 def test_flag_text(spark):
     flag = reconcile.flags(run(spark, [("Revenue", "$52.9M", "FY2024", "CIM"), ("Revenue", "$48,400,000", "FY24", "Tax")])).first().flag
-    assert flag == "Revenue discrepancy (FY2024): CIM=$52.9M (52.9M) vs Tax=$48,400,000 (48.4M); delta 8.51%"
+    assert flag == "Revenue discrepancy (FY2024): CIM=$52.9M (norm=52.9M) vs Tax=$48,400,000 (norm=48.4M), delta=8.51%"
 
 
 def test_against_all_pairs(spark):

@@ -69,8 +69,32 @@ def test_review(spark):
     assert review.unknown_titles(actions.filter("action = 'approve'"), sections).count() == 1
     codes = spark.createDataFrame([(None, True, 404), ("running", True, 202), ("error", True, 500), ("complete", False, 500), ("complete", True, 200)], "s string, m boolean, want int")
     assert codes.filter(review.job_guard(F.col("s"), F.col("m")) != F.col("want")).count() == 0
-    errors = spark.createDataFrame([("429 quota", "rate_limited"), ("API key missing", "auth_error"), ("deadline exceeded", "timeout"), ("no documents found", "no_documents"), (None, "pipeline_error")], "m string, want string")
+    errors = spark.createDataFrame([("429 quota", "rate_limited"), ("API key missing", "missing_api_key"), ("Embedding failed", "embedding_error"), ("a timeout", "timeout"), ("rate was over its limit", "rate_limited"), ("deadline exceeded", "pipeline_error"), ("no documents found", "pipeline_error"), (None, "pipeline_error")], "m string, want string")
     assert errors.filter(review.error_code(F.col("m")) != F.col("want")).count() == 0
+    again = spark.createDataFrame([("Internal error", None, True), ("getaddrinfo failed", None, True), ("quota", None, False), ("x", 504, True), ("x", 400, False), (None, None, False)], "m string, c int, want boolean")
+    assert again.filter(review.retryable(F.col("m"), F.col("c")) != F.col("want")).count() == 0
+
+
+def test_flag_scores(spark):
+    rows = [("a", "totally one thing"), ("b", "Note: Revenue discrepancy (FY 2024): x"), ("c", None)]
+    other = [("a", "quite another"), ("b", "note:  revenue discrepancy (FY2024)"), ("d", "same  Text ")]
+    p, e = (spark.createDataFrame(r, "case_id string, flag string").filter("flag IS NOT NULL") for r in (rows, other))
+    assert {r.case_id: (r.tp, r.fp, r.fn) for r in quality.flag_scores(p, e).collect()} == {"a": (0, 1, 1), "b": (1, 0, 0), "d": (0, 0, 1)}
+
+
+def test_slots(spark):
+    rows = [("r", 1, "Market & Industry"), ("r", 2, "Financial Market Risks"), ("r", 3, "Management Team"), ("r", 4, "management team"), ("q", 1, "Risks")]
+    got = {(r.run_id, r.slot): r.title for r in appendix.section_slots(spark.createDataFrame(rows, "run_id string, section_ord int, title string"), ["run_id"]).collect()}
+    assert got == {
+        ("r", "MARKET_INDUSTRY"): "Market & Industry", ("r", "MARKET_OVERVIEW"): "Market & Industry", ("r", "FINANCIAL_MARKET_RISKS"): "Financial Market Risks", ("r", "RISKS"): "Financial Market Risks",
+        ("r", "KEY_FINANCIAL_METRICS"): "Financial Market Risks", ("r", "MANAGEMENT_TEAM"): "management team", ("q", "RISKS"): "Risks",
+    }
+
+
+def test_brackets(spark):
+    rows = [("x one. one  ", ["one", "[one]", "two", ""], "x [[one]]. one\n\n[Unverified claims: two; ]"), ("all", [], "all"), ("a b", ["b", "a"], "[a] [b]")]
+    df = spark.createDataFrame(rows, "n string, t array<string>, want string")
+    assert [r.o for r in df.select(grounding.bracketed(F.col("n"), F.col("t")).alias("o")).collect()] == [r[2] for r in rows]
 
 
 def test_flag_matching(spark):

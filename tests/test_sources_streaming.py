@@ -55,8 +55,8 @@ def test_empty_folder_and_pdf(spark, tmp_path):
 
 
 def test_headers_and_uploads(spark):
-    p = spark.createDataFrame([(0, "Market View"), (1, "{{X}}"), (2, "Appendix A"), (3, " "), (4, "x" * 90), (5, "Risks")], "ord int, paragraph string")
-    assert files.template_headers(p) == ["Market View", "Risks"] and len(files.template_headers(p.filter("ord = 3"))) == 6
+    p = spark.createDataFrame([(0, "Market View"), (1, "{{X}}"), (2, "Appendix A"), (3, " "), (4, "x" * 90), (5, "Risks"), (6, "MEMORANDUM"), (7, "Company: X"), (8, "Date of closing")], "ord int, paragraph string")
+    assert files.template_headers(p) == ["Market View", "Risks", "Date of closing"] and len(files.template_headers(p.filter("ord = 3"))) == 6
     up = spark.createDataFrame([("a.PDF",), ("b.exe",)], "path string")
     assert [r.path for r in files.accepted_uploads(up).collect()] == ["a.PDF"]
 
