@@ -25,7 +25,7 @@ import heapq
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +60,7 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_GROUPED.sub("", text))
 
 
-def openers(texts: list[str], least: int = 3) -> set[str]:
+def openers(texts: Iterable[str], least: int = 3) -> set[str]:
     """Openings up to a colon which several items share."""
     seen = Counter(m[0].strip().lower() for t in texts if t and (m := re.match(r"[^:\n]{8,160}:\s", t)))
     return {o for o, n in seen.items() if n >= least}
@@ -71,11 +71,21 @@ def without_opener(text: str, known: set[str]) -> str:
     return text[m.end() :] if m and m[0].strip().lower() in known else text
 
 
+#: A word tells an item apart if at most so many of all items hold it.
+FEW = 8
+
+
+def statistics(texts: Callable[[], Iterable[str]]) -> tuple[set[str], set[str]]:
+    """(shared openings, telling words) over all items, in two walks; kept are the openings and the items' vocabulary."""
+    known = openers(texts())
+    held_by = Counter(w for t in texts() for w in set(words(without_opener(t or "", known))))
+    return known, {w for w, n in held_by.items() if n <= FEW}
+
+
 class Items:
-    """Query items with an index of their word pairs."""
+    """A block of items with an index of their word pairs; openings and telling words are those of all items."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        known = openers([t for _, t in rows])
+    def __init__(self, rows: list[tuple[int, str]], known: set[str], telling: set[str]):
         self.ids, self.tokens = [], []
         self.vocabulary: dict[str, int] = {}
         self.pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
@@ -89,9 +99,7 @@ class Items:
             self.tokens.append(coded)
             for pair in set(zip(coded, coded[1:])):
                 self.pairs[pair].append(at)
-        held_by = Counter(t for coded in self.tokens for t in set(coded))
-        few = max(2, len(self.ids) // 50)
-        self.telling = {t for t, n in held_by.items() if n <= few}
+        self.telling = {t for w, t in self.vocabulary.items() if w in telling}
         self.by_telling: dict[int, list[int]] = defaultdict(list)
         self.plain: set[int] = set()
         for at, coded in enumerate(self.tokens):
@@ -223,16 +231,20 @@ def matches(text: str | None, items: Items) -> list[tuple[int, float, float]]:
 
 
 def leaked(documents: DataFrame, eval_items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = 5000) -> DataFrame:
-    """(item_id, doc_id, connected, covered) of all items and the documents that hold them."""
+    """(item_id, doc_id, connected, covered) of all items and the documents that hold them.
+
+    Items go out in blocks of a fixed size, each against all documents; the result doesn't depend on the blocks.
+    """
     spark = documents.sparkSession
     docs = spread(documents.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0))
     queries = eval_items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull()).orderBy("item_id")
     n = queries.count()
+    known, telling = statistics(lambda: (r.text for r in queries.toLocalIterator()))
     schema = "item_id bigint, doc_id bigint, connected double, covered double"
     out = None
     for start in range(0, max(n, 1), block):
         rows = [(r.item_id, r.text) for r in queries.offset(start).limit(block).collect()]
-        shared = spark.sparkContext.broadcast(Items(rows))
+        shared = spark.sparkContext.broadcast(Items(rows, known, telling))
 
         def match(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             items = shared.value

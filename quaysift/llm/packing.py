@@ -116,10 +116,11 @@ def _packer(round_no: int):
     return packed
 
 
-def pack(lengths: DataFrame, targets: DataFrame, per_block: int = 8000, good: float = 0.98, rounds: int = 3) -> DataFrame:
+def pack(lengths: DataFrame, targets: DataFrame, per_block: int = 8000, good: float = 0.98) -> DataFrame:
     """Container of each document (and part of one above the capacity) for each target.
 
-    lengths: doc_id, tokens; targets: target_name, capacity_tokens (a handful of rows).
+    lengths: doc_id, tokens; targets: target_name, capacity_tokens (a handful of rows). Badly filled containers are dealt
+    anew into fewer blocks, until one block is left or a round settles less than a tenth of what it was given.
     """
     lengths = cut_lineage(lengths)
     n = lengths.count()
@@ -134,15 +135,17 @@ def pack(lengths: DataFrame, targets: DataFrame, per_block: int = 8000, good: fl
         "target_name", "capacity_tokens", "doc_id", F.when(over, full).otherwise(0).alias("part"),
         F.when(over, F.col("tokens") % F.col("capacity_tokens")).otherwise(F.col("tokens")).cast("int").alias("tokens"),
     )
-    done, blocks = whole, max(1, -(-n // per_block))
-    for k in range(rounds):
+    done, blocks, left, k = whole, max(1, -(-n // per_block)), None, 0
+    while True:
         dealt = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "part", F.lit(k)), F.lit(blocks)).cast("int"))
         packed = dealt.groupBy("target_name", "block").applyInPandas(_packer(k), PACKED)
-        if blocks == 1 or k == rounds - 1:
+        if blocks == 1:
             return done.unionByName(packed)
         packed = cut_lineage(packed)
         enough = F.col("fill") >= F.col("capacity_tokens") * good
+        before, left = left, packed.filter(~enough).count()
+        if before is not None and left > 0.9 * before:  # what is left cannot be packed well: dealing it anew settles nothing
+            return done.unionByName(packed)
         done = done.unionByName(packed.filter(enough))
         rest = packed.filter(~enough).select("target_name", "capacity_tokens", "doc_id", "part", "tokens")
-        blocks = max(1, -(-rest.count() // (3 * per_block)))
-    return done
+        blocks, k = max(1, -(-left // (3 * per_block))), k + 1
