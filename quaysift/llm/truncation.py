@@ -126,8 +126,11 @@ def cell_key(cell: str) -> str:
 
 
 def form(c: Column) -> Column:
-    """A line's form: mail addresses by their last label, capitalised words as Xx, digits as 0, runs of Xx as one."""
-    c = F.regexp_replace(c, r"(?i)\S+\s?(?:@|\(at\)|\[at\])\s?[\w.-]*?(?:\.|\(dot\)|\[dot\]|\s)+([a-z]+)(?=[\s;,)\]]|$)", "@$1")
+    """A line's form: mail addresses by their last label, capitalised words as Xx, digits as 0, runs of Xx as one.
+
+    Patterns begin at the start of a word and never go back within it, so that long runs without blanks cost no more than their length.
+    """
+    c = F.regexp_replace(c, r"(?i)(?<![^\s@(\[])[^\s@(\[]++\s?(?:@|\(at\)|\[at\])\s?[\w.-]*?(?:\.|\(dot\)|\[dot\]|\s)+([a-z]+)(?=[\s;,)\]]|$)", "@$1")
     c = F.regexp_replace(c, r"(?U)\b\p{Lu}[\p{L}’'-]*\.?", "Xx")
     return F.regexp_replace(c, r"Xx(?:[\s,-]+Xx)*", "Xx")
 
@@ -178,7 +181,7 @@ def check(rows: DataFrame, support: int = 2) -> DataFrame:
     counted = lambda what: read.filter(F.col("what") == what).groupBy("key").agg(F.sum("n").alias("n"))
     lines = counted("line")
     pattern = r"^(.{1,60}?): (.+)$"
-    label, value, tail = F.regexp_extract("key", pattern, 1), F.regexp_extract("key", pattern, 2), F.regexp_extract("key", r"(\S+)$", 1)
+    label, value, tail = F.regexp_extract("key", pattern, 1), F.regexp_extract("key", pattern, 2), F.regexp_extract("key", r"(?<!\S)(\S++)$", 1)
     # every line counts for its key, its form, its label, its value and its last word: one sum over all of them
     facets = F.array(*[F.struct(F.lit(name).alias("facet"), c.alias("shape")) for name, c in (("key", F.col("key")), ("form", form(F.col("key"))), ("label", label), ("value", value), ("tail", tail))])
     sums = lines.select("n", F.explode(facets).alias("f")).filter("f.shape <> ''").groupBy("f.facet", "f.shape").agg(F.sum("n").alias("n"))
