@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries.
 
-Method: structure-tree packing. A text is read as a tree of sections (a heading with what follows it), paragraphs,
-lines (list items, table rows), sentences, clauses, words and single characters. Sibling subtrees are merged bottom-up
-as long as they fit; only nodes that are too large are opened one level further. Neighbouring pieces share
+Method: structure-tree packing. A text is read as a tree of sections (a heading with what follows it, down to the next
+heading of its depth: hashes, tags, numbering, plain short lines last), paragraphs, list items (an item with the deeper
+indented ones below it), lines (table rows), sentences, clauses, words and single characters. Sibling subtrees are merged
+bottom-up as long as they fit; only nodes that are too large are opened one level further. Neighbouring pieces share
 the last whole units of the earlier piece up to ``overlap`` characters, or where a single unit is larger, its last
 ``overlap`` characters from a word's start on.
 
@@ -18,43 +19,63 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A line that heads what follows: a markup or numbered heading, or a short line without a full stop.
-_HEADING = re.compile(r"^\s*(#{1,6}\s|<h[1-6]\b|\d+(\.\d+)*[.)]?\s+[A-Z]|[A-ZÀ-Þ][^|.!?:;\n]{1,70}$)", re.I)
-_ITEM = re.compile(r"^\s*([-*•–]|\d+[.)]|[a-z][.)])\s")
+#: A line that heads what follows, by depth: hashes, a tag, a number of one or more parts, or a short line without a full stop.
+_HEADING = re.compile(r"\s*(?:(#{1,6})\s|<[hH]([1-6])\b|(\d+(?:\.\d+)*)[.)]?\s+[A-ZÀ-Þ]|[A-ZÀ-Þ][^|.!?:;\n]{1,70}$)")
+_PLAIN = 7
+_ITEM = re.compile(r"([^\S\n]*)(?:[-*•–]|\d+[.)]|[a-z][.)])[^\S\n]")
+_LINE = re.compile(r"[^\n]*\n?")
 #: Places to cut at by level: each pattern matches the separator that stays with the unit before it.
-_CUTS = (
-    re.compile(r"\n[^\S\n]*\n\s*"),
-    re.compile(r"\n"),
-    re.compile(r"(?<=[.!?…。])[\"”’»)\]]*\s+"),
-    re.compile(r"(?<=[;:,])\s+|\s+(?=[–—]\s)|\s*\|\s*"),
-    re.compile(r"\s+"),
-)
-
-
-def _sections(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans that begin with headings."""
-    marks = [start]
-    for m in re.finditer(r"[^\n]*\n?", text[start:end]):
-        line = m[0]
-        if m.start() and line.strip() and " | " not in line and not _ITEM.match(line) and _HEADING.match(line.rstrip("\n")):
-            marks.append(start + m.start())
-    return list(zip(marks, [*marks[1:], end]))
-
-
-def children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    """The node's parts at a level; they tile it."""
-    if level == 0:
-        return _sections(text, start, end)
-    if level <= len(_CUTS):
-        marks = [start, *(start + m.end() for m in _CUTS[level - 1].finditer(text[start:end])), end]
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
+_ROW = re.compile(r"\n")
+_SENTENCE = re.compile(r"(?<=[.!?…。])[\"”’»)\]]*\s+")
+_CLAUSE = re.compile(r"(?<=[;:,])\s+|\s+(?=[–—]\s)|\s*\|\s*")
+_WORD = re.compile(r"\s+")
+
+
+def _depth(line: str) -> int | None:
+    """Depth of a heading, None for any other line."""
+    if not line.strip() or " | " in line or _ITEM.match(line):
+        return None
+    m = _HEADING.match(line.rstrip("\n"))
+    if not m:
+        return None
+    return len(m[1]) if m[1] else int(m[2]) if m[2] else m[3].count(".") + 1 if m[3] else _PLAIN
+
+
+def _indent(line: str) -> int | None:
+    """Indentation of a list item, None for any other line."""
+    m = _ITEM.match(line)
+    return len(m[1].expandtabs(4)) if m else None
+
+
+def _subtrees(text: str, start: int, end: int, rank: Callable[[str], int | None]) -> list[tuple[int, int]]:
+    """The node cut at those of its inner lines that rank highest (have the least number)."""
+    ranked = [(start + m.start(), r) for m in _LINE.finditer(text[start:end]) if m.start() and (r := rank(m[0])) is not None]
+    least = min((r for _, r in ranked), default=None)
+    marks = [start, *(at for at, r in ranked if r == least), end]
+    return list(zip(marks, marks[1:]))
+
+
+def _cut_at(separator: re.Pattern) -> Callable[[str, int, int], list[tuple[int, int]]]:
+    def cut(text: str, start: int, end: int) -> list[tuple[int, int]]:
+        marks = [start, *(start + m.end() for m in separator.finditer(text[start:end])), end]
         return [(a, b) for a, b in zip(marks, marks[1:]) if b > a]
-    return [(i, i + 1) for i in range(start, end)]
+
+    return cut
+
+
+#: How a node is opened at each level, and whether its parts may be opened the same way again.
+_LEVELS: tuple[tuple[Callable[[str, int, int], list[tuple[int, int]]], bool], ...] = (
+    (partial(_subtrees, rank=_depth), True), (_cut_at(_PARAGRAPH), False), (partial(_subtrees, rank=_indent), True),
+    (_cut_at(_ROW), False), (_cut_at(_SENTENCE), False), (_cut_at(_CLAUSE), False), (_cut_at(_WORD), False),
+)
 
 
 def _windows(text: str, start: int, end: int, room: int) -> list[tuple[int, int]]:
@@ -71,16 +92,19 @@ def _windows(text: str, start: int, end: int, room: int) -> list[tuple[int, int]
 
 def pack(text: str, start: int, end: int, room: int, level: int = 0) -> list[tuple[int, int]]:
     """Spans of at most ``room`` characters which tile [start, end): oversized nodes are opened, siblings merged."""
-    if end - start <= room:
+    while end - start > room:
+        if level == len(_LEVELS):
+            return _windows(text, start, end, room)
+        opened, again = _LEVELS[level]
+        parts = opened(text, start, end)
+        if len(parts) > 1:
+            break
+        level += 1
+    else:
         return [(start, end)]
-    if level > len(_CUTS):
-        return _windows(text, start, end, room)
-    parts = children(text, start, end, level)
-    if len(parts) == 1:
-        return pack(text, start, end, room, level + 1)
     spans: list[tuple[int, int]] = []
     for a, b in parts:
-        packed = pack(text, a, b, room, level + 1)
+        packed = pack(text, a, b, room, level if again else level + 1)
         if spans and spans[-1][1] - spans[-1][0] + packed[0][1] - packed[0][0] <= room:
             spans[-1] = (spans[-1][0], packed[0][1])
             packed = packed[1:]
@@ -93,7 +117,7 @@ def shared_start(text: str, start: int, end: int, overlap: int) -> int:
     floor = max(start, end - overlap)
     if floor == start:
         return start
-    for cut in (_CUTS[1], _CUTS[2]):
+    for cut in (_ROW, _SENTENCE):
         marks = [start + m.end() for m in cut.finditer(text[start:end])]
         whole = [m for m in marks if floor <= m < end and text[m:end].strip()]
         if whole:

@@ -31,6 +31,20 @@ def test_pieces_frame(spark):
     assert all(not h.rstrip().endswith("A heading") for h in heads)
 
 
+def test_tree():
+    """Headings cut by depth, items by indentation; a line in lower case heads nothing."""
+    assert [splitting._depth(x) for x in ("# A", "### B", "<h2>C</h2>", "1.2 Scope", "Open points", "the following lower case words", "- item", "a | b | c", "Ends here.")] == [1, 3, 2, 2, 7, None, None, None, None]
+    body = "word " * 12
+    text = f"# One\n{body}\n## A\n{body}\n## B\n{body}\n# Two\n{body}\n"
+    heads = lambda room: [text[a:b].split("\n")[0] for a, b in splitting.pack(text, 0, len(text), room)]
+    assert heads(100) == ["# One", "## A", "## B", "# Two"] and heads(200) == ["# One", "# Two"]
+    items = "".join(f"- top {k}\n" + f"  - {body}\n" * 2 for k in range(3))
+    cut = splitting.pack(items, 0, len(items), 150)
+    assert all(items[a:b].startswith("- top") and b - a <= 150 for a, b in cut) and len(cut) == 3
+    deep = "#" + " x" * 40 + "\n"
+    assert splitting.pack(deep * 3, 0, len(deep) * 3, len(deep)) == [(k * len(deep), (k + 1) * len(deep)) for k in range(3)]
+
+
 # ---- truncation --------------------------------------------------------------------------------------------------
 
 
