@@ -207,7 +207,10 @@ def train(data: tuple[np.ndarray, np.ndarray, np.ndarray], steps: int, batch: in
 
 
 def main(folder: str, rows: int = 12_000, passages: int = 80_000, steps: int = 3000, again: int = 0) -> None:
-    """Trains and stores the weights; ``again`` goes on from the stored ones, with half the rate."""
+    """Trains and stores the weights; ``again`` goes on from the stored ones, with half the rate.
+
+    The sample is bounded: ``rows`` rows of each table at most, of unlabelled ones the first 3,000 characters, and ``passages`` own sentences.
+    """
     import pyarrow.parquet as pq
 
     rng = random.Random(3)
