@@ -76,13 +76,18 @@ def verify(claims: DataFrame, evidence: DataFrame, verdicts: DataFrame | None =
     return out.withColumn("status", F.when(F.col("verdict").isNull(), F.col("local_status")).otherwise(allowed_status(F.col("verdict")))).drop("verdict", "local_status")
 
 
-def summary(claims: DataFrame, threshold: float = DEFAULT.confidence_threshold) -> DataFrame:
-    """Counts by status, rate and confidence of each section; needs_repair tells whether another round is due."""
+def summary(claims: DataFrame, threshold: float = DEFAULT.confidence_threshold, sections: DataFrame | None = None) -> DataFrame:
+    """Counts by status, rate and confidence of each section; needs_repair tells whether another round is due.
+
+    With ``sections`` (section) those without claims are there too: nothing counted, confidence 0.3, in need of repair.
+    """
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES]
     g = claims.groupBy("section").agg(
         F.count("*").alias("total"), *counts,
         F.bool_or((F.col("status") != "supported") | (F.size("citation_ids") == 0)).alias("needs_repair"),
     )
+    if sections is not None:
+        g = sections.select("section").distinct().join(g, "section", "left").fillna(0, ["total", *(f"n_{s}" for s in STATUSES)]).fillna(True, ["needs_repair"])
     rate = F.col("n_supported") / F.greatest(F.col("total"), F.lit(1))
     return g.withColumn("rate", rate).withColumn("confidence", confidence(F.col("total"), F.col("n_supported"), threshold))
 

@@ -59,14 +59,14 @@ def run_sections(chunks: DataFrame, titles: list[str], generator: Generator = ex
         drawn = grounding.extract_claims(generator(open_evidence), open_evidence)
         verdicts = judge(drawn, open_evidence) if judge else None
         verified = cut_lineage(grounding.verify(drawn, open_evidence, verdicts))
-        repair = grounding.summary(verified).filter("needs_repair").select("section")
+        repair = grounding.summary(verified, sections=asked.select(F.col("qid").alias("section"))).filter("needs_repair").select("section")
         last = round_no == config.max_agent_rounds
         settled = verified if last else verified.join(repair, "section", "left_anti")
         claims = settled if claims is None else claims.unionByName(settled)
         if last:
             break
         gaps = repair.join(grounding.gap_queries(verified), "section", "left")
-        query = F.substring(F.concat("section.title", F.lit(": "), F.coalesce("gap_query", F.lit(""))), 1, 500)
+        query = F.coalesce(F.substring(F.concat("section.title", F.lit(": "), "gap_query"), 1, 500), F.col("section.title"))
         asked = cut_lineage(gaps.select("section.run_id", F.col("section").alias("qid"), query.alias("query")))
         if asked.isEmpty():
             break

@@ -23,11 +23,13 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "quays
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is named (tests, local mode)."""
+    """The session's checkpoint folder; one of our own only in local mode where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder shared by the executors")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaysift-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaysift.session import ensure_checkpoint_dir
+
 TERMINAL = ("complete", "error")
 
 
@@ -76,10 +79,20 @@ def state_machine(stream: DataFrame, ttl_ms: int = 86_400_000, late: str = "2 ho
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and gives its table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and gives its table.
+
+    State and rows lie in the shared checkpoint folder: every batch is written by the executors, once under its number
+    however often it is tried; in complete mode the last batch is the table.
+    """
+    spark = stream.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        batches.append(number)
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint or f"{folder}/state").start().awaitTermination()
+    kept = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/rows/{n}" for n in kept]) if kept else spark.createDataFrame([], stream.schema)

@@ -124,3 +124,9 @@ def test_figures(spark):
     answers = spark.createDataFrame([(0, "a", bad), (1, "b", good), (2, "c", "no json")], "doc_ord int, doc_name string, answer string")
     assert [(r.doc_name, r.value, r.page_number) for r in financial.parse_answers(answers).collect()] == [("b", "5", 1)]
     assert financial.first_company(answers).first().company_name == "Acme"
+
+
+def test_sections_without_claims(spark):
+    claims = spark.createDataFrame([("A", "supported", ["e1"]), ("A", "supported", ["e2"])], "section string, status string, citation_ids array<string>")
+    out = {r.section: (r.total, r.confidence, r.needs_repair) for r in grounding.summary(claims, 0.7, spark.createDataFrame([("A",), ("B",), ("B",)], "section string")).collect()}
+    assert out == {"A": (2, 1.0, False), "B": (0, 0.3, True)}
