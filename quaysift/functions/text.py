@@ -56,3 +56,8 @@ def char_windows(c: Column, size: int, overlap: int) -> Column:
 def clip(c: Column, size: int) -> Column:
     """The first characters, followed by three dots where there are more."""
     return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("..."))).otherwise(c)
+
+
+def percent(c: Column) -> Column:
+    """A share as whole percent, halves to the even number."""
+    return F.concat(F.bround(c * 100, 0).cast("bigint").cast("string"), F.lit("%"))

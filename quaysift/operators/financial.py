@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +54,14 @@ def labelled_figures(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
         )
         out = part if out is None else out.unionByName(part)
     return out.withColumn("source_quote", F.trim("source_quote"))
+
+
+def first_chunks(chunks: DataFrame, by: list[str], order: list[str], n: int = 8) -> DataFrame:
+    """The first chunks of each group in their order; a task keeps no more than its own first ones before the shuffle."""
+    first = W.partitionBy(*by).orderBy(*order)
+    return chunks.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= n).withColumn("rank", F.col("__rank") - 1).drop("__rank")
+
+
+def company_texts(chunks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """What is read for a company's name where no document gave one: the first 3,000 characters of a group's first two chunks above 300."""
+    return first_chunks(chunks.filter(F.length("text") > 300), by, order, 2).withColumn("text", F.substring("text", 1, 3000))

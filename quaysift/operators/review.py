@@ -79,3 +79,10 @@ def retryable(message: Column, code: Column | None = None) -> Column:
     m = F.lower(F.coalesce(message, F.lit("")))
     by_text = m.rlike("429|resource_exhausted|503|unavailable|timeout|500|internal|11001|getaddrinfo|connection|network") | (m.contains("rate") & m.contains("limit"))
     return by_text if code is None else by_text | F.coalesce(code.isin(408, 429, 500, 502, 503, 504), F.lit(False))
+
+
+def find_section(sections: DataFrame, title: str) -> DataFrame:
+    """The first section (section_ord) of each run whose title is the one asked for, as it stands or URL-decoded."""
+    asked = F.lit(title)
+    hit = sections.filter((F.col("section") == asked) | (F.col("section") == F.try_url_decode(asked)))
+    return hit.groupBy("run_id").agg(F.min_by("section", "section_ord").alias("section"), F.min("section_ord").alias("section_ord"))

@@ -176,6 +176,9 @@ SQL = {
       words(word, slot) AS (VALUES ('market', 'MARKET_OVERVIEW'), ('business', 'BUSINESS_OVERVIEW'), ('financial', 'KEY_FINANCIAL_METRICS'), ('management', 'MANAGEMENT_TEAM'), ('risk', 'RISKS')),
       worded AS (SELECT run_id, slot, arg_min(title, ord) AS title FROM s JOIN words ON contains(lower(title), word) GROUP BY 1, 2)
       SELECT run_id, slot, title FROM own UNION ALL SELECT * FROM worded WHERE (run_id, slot) NOT IN (SELECT (run_id, slot) FROM own)""",
+    "first_chunks": "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos, chunk_key) - 1 AS rank, chunk_key FROM doc_chunks WHERE text IS NOT NULL QUALIFY rank < 8",
+    "company_texts": """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos, chunk_key) - 1 AS rank, chunk_key, least(length(text), 3000) AS n_chars, md5(substring(text, 1, 3000)) AS text_md5
+      FROM doc_chunks WHERE length(text) > 300 QUALIFY rank < 2""",
     "document_text": """SELECT run_id, doc_name, length(t) AS n_chars, md5(t) AS text_md5 FROM
       (SELECT run_id, doc_name, string_agg(text, chr(10) || chr(10) ORDER BY pos, chunk_key) AS t FROM doc_chunks WHERE text IS NOT NULL GROUP BY 1, 2)""",
     "canonical_metrics": f"SELECT metric_name, {metric('metric_name')} AS metric FROM (SELECT metric_name FROM financial_evidence UNION SELECT metric FROM financials)",

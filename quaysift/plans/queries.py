@@ -39,6 +39,18 @@ def section_slots(spark: SparkSession, sf: str) -> DataFrame:
     return appendix.section_slots(sections, ["run_id"])
 
 
+def first_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The first eight chunks of each run."""
+    rows = table(spark, sf, "doc_chunks").filter("text IS NOT NULL").select("run_id", "pos", "chunk_key")
+    return financial.first_chunks(rows, ["run_id"], ["pos", "chunk_key"]).select("run_id", "rank", "chunk_key")
+
+
+def company_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts in which a run's company name is looked for."""
+    rows = table(spark, sf, "doc_chunks").select("run_id", "pos", "chunk_key", "text")
+    return financial.company_texts(rows, ["run_id"], ["pos", "chunk_key"]).select("run_id", "rank", "chunk_key", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def document_text(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "doc_chunks").filter("text IS NOT NULL")
     joined = chunks.groupBy("run_id", "doc_name").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "chunk_key", "text")))["text"], "\n\n").alias("t"))
@@ -337,7 +349,7 @@ def progress_stream(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nonblank_chunks, evidence_projection, documents_by_run, section_slots, document_text, canonical_metrics, canonical_periods, numeric_values,
+        nonblank_chunks, evidence_projection, documents_by_run, section_slots, first_chunks, company_texts, document_text, canonical_metrics, canonical_periods, numeric_values,
         formatted_values, reconcile_groups, reconcile_worst, reconcile_flags, reconcile_orders, labelled_figures, chunk_tokens, term_idf, bm25_topk,
         dense_topk, hash_embeddings, hybrid_topk, char_windows, index_chunks, deduped_evidence, claim_evidence, local_verdicts, verification_summary,
         supported_rate_by_run, gap_queries, citations, bracketed_narratives, appendix_rows, review_state, review_gate, export_versions, claim_rates,

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quaysift.functions import text as X
 from quaysift.operators import appendix, financial, grounding, quality, review
 
 CLAIM = "section string, section_ord int, claim_ord int, claim_id string, text string, citation_ids array<string>, status string"
@@ -130,3 +131,13 @@ def test_sections_without_claims(spark):
     claims = spark.createDataFrame([("A", "supported", ["e1"]), ("A", "supported", ["e2"])], "section string, status string, citation_ids array<string>")
     out = {r.section: (r.total, r.confidence, r.needs_repair) for r in grounding.summary(claims, 0.7, spark.createDataFrame([("A",), ("B",), ("B",)], "section string")).collect()}
     assert out == {"A": (2, 1.0, False), "B": (0, 0.3, True)}
+
+
+def test_find_section_and_percent(spark):
+    rows = [("r", 2, "Key Risks"), ("r", 1, "Key Risks"), ("r", 3, "A+B"), ("q", 1, "Other")]
+    sections = spark.createDataFrame(rows, "run_id string, section_ord int, section string")
+    assert [(r.run_id, r.section_ord) for r in review.find_section(sections, "Key%20Risks").collect()] == [("r", 1)]
+    assert review.find_section(sections, "A+B").count() == 1 and review.find_section(sections, "50%").count() == 0
+    shares = [(0.125, "12%"), (0.375, "38%"), (1.0, "100%"), (0.0, "0%"), (None, None)]
+    df = spark.createDataFrame(shares, "x double, want string")
+    assert [(r.x, r.p) for r in df.select("x", X.percent(F.col("x")).alias("p")).collect()] == shares
