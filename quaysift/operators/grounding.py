@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaysift.config import DEFAULT
+from quaysift.functions import brackets
 from quaysift.functions.normalize import strip
 
 STATUSES = ("supported", "unsupported", "contradicted", "insufficient")
@@ -106,17 +109,20 @@ def gap_queries(claims: DataFrame, most: int = 5, size: int = 500) -> DataFrame:
 
 
 def bracketed(narrative: Column, texts: Column) -> Column:
-    """The narrative with the first occurrence of each text in brackets; behind it, the first five texts that the result doesn't hold in brackets."""
+    """The narrative with the first occurrence of each text in brackets; behind it, the first five texts that the result doesn't hold in brackets.
+
+    Texts that are null count for nothing; without a narrative or texts there is no result. The fold over a row's texts runs in Arrow
+    batches (see functions.brackets), once for each row: as a column expression it costs the narrative's length for each text.
+    """
+    done = _bracketed(narrative, texts)
+    notes = F.array_join(F.transform(done["missing"], lambda t: F.substring(t, 1, 120)), "; ")
+    return F.when(F.size(done["missing"]) > 0, F.concat(F.regexp_replace(done["content"], r"(?U)\s+$", ""), F.lit("\n\n[Unverified claims: "), notes, F.lit("]"))).otherwise(done["content"])
 
-    def step(content: Column, text: Column) -> Column:
-        at = F.when(text == "", 0).otherwise(F.instr(content, text))
-        hit = F.concat(F.substring(content, F.lit(1), at - 1), F.lit("["), text, F.lit("]"), F.substring(content, at + F.length(text), F.length(content)))
-        return F.when(at > 0, hit).otherwise(content)
 
-    content = F.aggregate(texts, narrative, step)
-    missing = F.filter(texts, lambda t: ~F.contains(content, F.concat(F.lit("["), t, F.lit("]"))))
-    notes = F.array_join(F.transform(F.slice(missing, 1, 5), lambda t: F.substring(t, 1, 120)), "; ")
-    return F.when(F.size(missing) > 0, F.concat(F.regexp_replace(content, r"(?U)\s+$", ""), F.lit("\n\n[Unverified claims: "), notes, F.lit("]"))).otherwise(content)
+@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("missing", T.ArrayType(T.StringType()))]))
+def _bracketed(narratives: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if n is None or ts is None else brackets.bracket(n, [t for t in ts if t is not None]) for n, ts in zip(narratives, texts)]
+    return pd.DataFrame(rows, columns=["content", "missing"])
 
 
 def citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:

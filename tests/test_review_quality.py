@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,27 @@ def test_brackets(spark):
     assert [r.o for r in df.select(grounding.bracketed(F.col("n"), F.col("t")).alias("o")).collect()] == [r[2] for r in rows]
 
 
+def test_brackets_of_long_narratives(spark):
+    """Thousands of texts of one narrative: the rows of the plain fold, in seconds."""
+    rng = random.Random(4)
+
+    def fold(content, texts):
+        for t in texts:
+            content = content.replace(t, f"[{t}]", 1) if t else content
+        missing = [t for t in texts if f"[{t}]" not in content]
+        return content.rstrip() + "\n\n[Unverified claims: " + "; ".join(t[:120] for t in missing[:5]) + "]" if missing else content
+
+    texts = ["".join(rng.choices("abcdefg ", k=rng.randint(60, 330))) + "." for _ in range(3000)]
+    texts += [t[5:40] for t in texts[:50]] + ["[sic]", "]", ""]
+    few = [("".join(rng.choices("ab[] ", k=20)), ["".join(rng.choices("ab[]", k=rng.randint(0, 4))) for _ in range(6)]) for _ in range(200)]
+    rows = [(i, n, t) for i, (n, t) in enumerate([(" ".join(texts[:2900]), texts), *few])] + [(-1, None, ["a"]), (-2, "a", None)]
+    df = spark.createDataFrame(rows, "i int, n string, t array<string>")
+    start = time.perf_counter()
+    got = {r.i: r.o for r in df.select("i", grounding.bracketed(F.col("n"), F.col("t")).alias("o")).collect()}
+    assert time.perf_counter() - start < 30
+    assert got == {i: None if n is None or t is None else fold(n, t) for i, n, t in rows}
+
+
 def test_flag_matching(spark):
     rows = [("a", "p", 0, "Revenue discrepancy (FY2024): CIM=1 vs Tax=2; delta 8%"), ("a", "e", 0, "revenue  discrepancy (FY 2024)"), ("b", "p", 0, "X discrepancy (FY1)"), ("b", "p", 1, "Y discrepancy (FY1)"), ("b", "e", 0, "Y discrepancy (FY1)"), ("c", "e", 0, "free text"), ("d", "p", 0, "the free text here"), ("d", "e", 0, "free text")]
     flags = spark.createDataFrame(rows, "case_id string, side string, ord int, flag string")
