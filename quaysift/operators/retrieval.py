@@ -192,6 +192,10 @@ def hybrid(docs: DataFrame, key: str, text: str, queries: DataFrame, top_k: int
     pool = max(top_k, config.rerank_candidates)
     dense = sparse_top_k(docs, key, text, queries, pool, config.embed_dim, scope)
     sparse = lexical.top_k(lexical.positive_or_all(lexical.bm25(docs, key, text, queries, config, scope)), pool)
-    fused = rrf([dense, sparse], config.rrf_k)
+    return fused(rrf([dense, sparse], config.rrf_k), top_k)
+
+
+def fused(scored: DataFrame, top_k: int) -> DataFrame:
+    """(qid, key, score, rank): the best of fused rankings."""
     by = W.partitionBy("qid").orderBy(F.round("score", 12).desc(), F.col("first"), F.col("key"))
-    return fused.withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < top_k).select("qid", "key", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < top_k).select("qid", "key", "score", "rank")

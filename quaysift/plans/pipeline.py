@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaysift.config import DEFAULT, EngineConfig
-from quaysift.operators import appendix, chunking, financial, grounding, reconcile, retrieval
+from quaysift.operators import appendix, chunking, financial, grounding, reconcile, retrieval, scoped
 from quaysift.session import cut_lineage
 
 
@@ -27,10 +27,9 @@ def extractive(evidence: DataFrame) -> DataFrame:
     return g.select("section", F.array_join(F.transform("claims", lambda c: c["text"]), " ").alias("narrative"), "claims")
 
 
-def evidence_of(hits: DataFrame, chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Retrieved chunks as evidence: document without its sheet, first characters of the text."""
-    joined = hits.join(chunks.select(F.col("key"), "doc_name", "page", "text"), "key")
-    return joined.select(F.col("qid").alias("section"), "rank", F.element_at(F.split("doc_name", "::"), 1).alias("doc"), F.greatest("page", F.lit(1)).alias("page"), F.substring("text", 1, config.evidence_chars).alias("quote"))
+def evidence_of(hits: DataFrame) -> DataFrame:
+    """Retrieved chunks (qid, rank, doc_name, page, quote) as evidence: document without its sheet."""
+    return hits.select(F.col("qid").alias("section"), "rank", F.element_at(F.split("doc_name", "::"), 1).alias("doc"), F.greatest("page", F.lit(1)).alias("page"), "quote")
 
 
 def section_key(title: str | Column) -> Column:
@@ -47,12 +46,10 @@ def run_sections(chunks: DataFrame, titles: list[str], generator: Generator = ex
     first = spark.createDataFrame([(t, retrieval.expand_query(t)) for t in titles], "title string, query string")
     asked = chunks.select("run_id").distinct().crossJoin(F.broadcast(first)).select("run_id", section_key(F.col("title")).alias("qid"), "query")
     asked = cut_lineage(asked)
+    corpora = scoped.Corpora(chunks, config)
     evidence = claims = None
     for round_no in range(config.max_agent_rounds + 1):
-        open_chunks = chunks.join(asked.select("run_id").distinct(), "run_id", "left_semi") if round_no else chunks
-        open_chunks = open_chunks.repartition("key")  # so that the sums by chunk need no shuffle of terms and slots
-        hits = retrieval.hybrid(open_chunks, "key", "text", asked, config.top_k, config, ("run_id",))
-        found = evidence_of(hits, chunks, config).withColumn("round", F.lit(round_no))
+        found = evidence_of(corpora.hybrid(asked, config.top_k)).withColumn("round", F.lit(round_no))
         pool = found if evidence is None else evidence.select(*found.columns).unionByName(found)
         evidence = cut_lineage(grounding.dedupe_evidence(pool, ["round", "rank", "doc", "page"]))
         open_evidence = evidence.join(asked.select(F.col("qid").alias("section")), "section", "left_semi")
@@ -76,10 +73,12 @@ def run_sections(chunks: DataFrame, titles: list[str], generator: Generator = ex
 def index_of(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Index chunks with a key of their own each: its order is that of run, document and place, whatever the rows' number.
 
-    The keys are fixed by the checkpoint; equal keys cannot arise even from repeated deliveries of a chunk.
+    The keys are fixed by the checkpoint; equal keys cannot arise even from repeated deliveries of a chunk. The chunks are dealt by range
+    before they are split, so that they are split once (a sort of the pieces would split them for its sample too).
     """
     order = ["run_id", "doc_name", "pos", "chunk_id", "sub_pos", "page", "is_table", "text"]
-    keyed = chunking.expand(chunks, config).orderBy(*order).withColumn("key", F.monotonically_increasing_id())
+    placed = chunks.repartitionByRange("run_id", "doc_name", "pos")
+    keyed = chunking.expand(placed, config, in_place=True).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id())
     return cut_lineage(keyed.select("key", "run_id", "doc_name", "page", "chunk_id", "text", "is_table"))
 
 

@@ -1,6 +1,7 @@
 import math
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -108,3 +109,19 @@ def test_embedder_falls_back(spark):
     assert {len(r.embedding) for r in short.collect()} == {768}
     full = retrieval.embed(df, "k", "t", lambda texts: [[float(len(t))] for t in texts])
     assert {r.key: r.embedding for r in full.collect()} == {1: [5.0], 2: [4.0]}
+
+
+@pytest.mark.parametrize("bits", [1, 11])
+def test_scoped_hybrid(spark, monkeypatch, bits):
+    """Retrieval by blocks of keys gives the hits of the hybrid by joins, for corpora of one block and of several."""
+    from quaysift.operators import scoped
+
+    monkeypatch.setattr(scoped, "BLOCK_BITS", bits)
+    texts = ["Revenue grew by 5 percent", "revenue and margin", "The board met the CEO", "the the the", "— § —", "Market size, market share", "Don't panic", "EBITDA margin", "risk of churn"]
+    rows = [(k, run, "d::s", k, t, k) for k, (run, t) in enumerate([("a", t) for t in texts] + [("b", t) for t in texts[:3]] + [("c", "— § —")])]
+    index = spark.createDataFrame(rows, "key bigint, run_id string, doc_name string, page int, text string, n int")
+    asked = spark.createDataFrame([(r, f"{r}{i}", q) for r in "abcd" for i, q in enumerate(["revenue margin revenue", "the", "zzz", "market risk don't"])], "run_id string, qid string, query string")
+    want = {(r.qid, r.key, r["rank"], round(r.score, 9)) for r in retrieval.hybrid(index, "key", "text", asked, 5, scope=("run_id",)).collect()}
+    got = scoped.Corpora(index).hybrid(asked, 5).collect()
+    assert {(r.qid, r.key, r["rank"], round(r.score, 9)) for r in got} == want and len(got) == len(want)
+    assert all(r.quote == rows[r.key][4] and r.page == r.key and r.doc_name == "d::s" for r in got)
