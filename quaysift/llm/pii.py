@@ -1,11 +1,9 @@
 """Personal data in free text: find it and put typed placeholders in its place.
 
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans (see
-pii_training). Texts are read whole; windows are laid over every stretch around a cue, that is, wherever the form that
-each kind must have (see ``_of_form``) is possible at all: an at sign; seven digits with few signs between; a capitalised
-word or an initial before another, particles between them allowed; a number beside a capitalised word, a street's or a
-post box's. Windows overlap; where they do, their scores are blended by distance to the window's edge, and one Viterbi pass
-decodes the whole stretch. A window's scores don't depend on the windows computed with it.
+pii_training). Windows are laid over every position of every text. They overlap; where they do, their scores are blended by
+distance to the window's edge, and the Viterbi path of the whole text is decoded. A window's scores don't depend on the windows
+computed with it.
 
 Defined cases: null and empty texts give nothing; texts of any length are read whole; repeated rows each give their
 rows; an empty table gives no rows; other columns are ignored.
@@ -29,6 +27,7 @@ from quaysift.session import spread
 
 PLACEHOLDERS = {"person_name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street_address": "[ADDRESS]"}
 WINDOW, STRIDE, CONTEXT, BLOCK = 96, 64, 26, 1024
+CELLS = 1 << 20
 #: What the beginning of a span of a kind gains over the trained scores: a missed name or number is worse than a spare placeholder.
 MARGINS = {"person_name": 3.0, "phone": 2.0}
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
@@ -45,7 +44,7 @@ _PARTICLE = "de|da|do|dos|das|del|della|di|du|la|le|el|al|bin|ibn|ben|van|von|de
 _STREET_ENDS = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ring", "damm", "ufer", "straat", "laan", "plein", "gracht", "ox", "OX", "fach", "ostale", "ostbus", "partado", "asella")
 _STREET_BEFORE = re.compile(rf"(?:[Vv]ia|[Vv]iale|[Pp]iazza|[Cc]alle|[Aa]venida|[Pp]laza|[Rr]ua|[Uu]lica|ul\.|al\.)(?:\s[^\W\d_]+){{1,4}}$")
 _CAP = rf"[{UP}][{ANY}'’-]+"
-#: Where personal data can be at all. Each pattern begins with a small set of characters, which keeps the search fast.
+#: Where personal data is likely: training reads the surroundings of these places, ``find`` reads all. Each pattern begins with a small set of characters, which keeps the search fast.
 _CUE_MAIL = re.compile(r"@|[(\[](?:at|AT)[)\]]")
 _USER = re.compile(r"[\w.+-]*\s?$")
 _HOST = re.compile(r"(?:\s?[\w-]+(?:\s?(?:\.|[(\[](?:dot|DOT)[)\]])\s?[\w-]+)*)?")
@@ -58,7 +57,7 @@ _DAY = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d$")
 
 
 def cues(text: str) -> list[tuple[int, int]]:
-    """Spans around which the text has to be read."""
+    """Spans around which training reads a text."""
     found = []
     for m in _CUE_NAME.finditer(text):
         first = m[0].split(None, 1)[0]
@@ -184,14 +183,16 @@ class Tagger:
         return (out[0] @ self.wo[:h] + out[1] @ self.wo[h:] + self.bo).transpose(1, 0, 2)
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi paths of stretches of different lengths."""
+        """Viterbi paths of texts of different lengths, in parts of a bounded number of cells."""
         paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
         order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-        for start in range(0, len(order), 1024):
-            part = order[start : start + 1024]
+        start = 0
+        while start < len(order):
+            part = order[start : start + max(1, min(1024, CELLS // max(1, len(scores[order[start]]))))]
+            start += len(part)
             lengths = np.array([len(scores[i]) for i in part])
             top = int(lengths[0])
-            # tags before stretches, so that every operation runs along the stretches
+            # tags before texts, so that every operation runs along the texts
             padded = np.zeros((top, TAGS, len(part)), np.float32)
             for r, i in enumerate(part):
                 padded[: len(scores[i]), :, r] = scores[i]
@@ -226,8 +227,8 @@ def tagger() -> Tagger:
 _BLEND = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
-def _tag_stretches(pieces: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
-    """Tags of each stretch, from blended window scores."""
+def _tag_texts(pieces: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
+    """Tags of each text, from blended scores of the windows over all of it."""
     windows, places = [], []
     for k, piece in enumerate(pieces):
         starts = [0] if len(piece) <= WINDOW else [*range(0, len(piece) - WINDOW, STRIDE), len(piece) - WINDOW]
@@ -252,7 +253,265 @@ def _tag_stretches(pieces: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
                 blend = _BLEND[:n, None]
                 merged[k][s : s + n] += out[r, :n] * blend
                 weight[k][s : s + n] += blend
-    return net.decode([m if w is None else m / w for m, w in zip(merged, weight)])
+    for m, w in zip(merged, weight):
+        if w is not None:
+            m /= w
+    return net.decode(merged)
+
+
+_MAIL = re.compile(r"@|[(\[](?:at|AT)[)\]]")
+_USER = re.compile(r"[\w.+-]*\s?$")
+_HOST = re.compile(r"(?:\s?[\w-]+(?:\s?(?:\.|[(\[](?:dot|DOT)[)\]])\s?[\w-]+)*)?")
+_CUE_NAME = re.compile(rf"[{UP}](?<![{ANY}][{UP}])(?:\.|[{ANY}'’-]+[.,]?)\s{{1,2}}(?:(?:{_PARTICLE})\s){{0,3}}(?:[{UP}]\.\s?){{0,2}}[{UP}][{ANY}'’-]*")
+_CUE_NUMBER = re.compile(rf"\d(?<![\d$€£]\d)(?:(?:[ \xa0()/.+-]{{0,3}}\d){{6,}}|[\dA-Za-z]{{0,4}},?[ \xa0](?:[{UP}]|(?:rue|avenue|boulevard|via|calle)[ \xa0]))")
+_CUE_LETTERED = re.compile(r"[A-Z][ -]?\d(?:[ -]?\d){4,}")
+_CUE_HOUSE = re.compile(r"[a-zßX.]\s\d")
+_POSTCODE = re.compile(r"\d{1,4}[a-z]?,?\s\s?\d{2}-?\d{2,3}")
+_DAY = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d$")
+
+
+def cues(text: str) -> list[tuple[int, int]]:
+    """Spans around which training reads a text."""
+    found = []
+    for m in _CUE_NAME.finditer(text):
+        first = m[0].split(None, 1)[0]
+        if first in _NO_NAME:
+            m = _CUE_NAME.match(text, m.start() + len(first) + 1)
+        if m:
+            found.append(m.span())
+    found += [m.span() for m in _CUE_NUMBER.finditer(text) if not _DAY.match(m[0])]
+    found += [m.span() for m in _CUE_LETTERED.finditer(text)]
+    if any(mark in text for mark in ("@", "at)", "at]", "AT)", "AT]")):
+        found += [(_USER.search(text, max(0, m.start() - 65), m.start()).start(), _HOST.match(text, m.end()).end()) for m in _CUE_MAIL.finditer(text)]
+    for m in _CUE_HOUSE.finditer(text):
+        at = m.start() + 1
+        before = text[max(0, at - 40) : at]
+        house = _POSTCODE.match(text, at + 1)
+        named = before[before.rfind(" ") + 1 :][:1].isupper()  # the word before a number that may be a street's
+        if house or before.endswith(_STREET_ENDS) or named and _STREET_BEFORE.search(before):
+            found.append((m.start(), house.end() if house else m.end()))
+    found.sort()
+    return found
+
+
+# Characters as the tagger sees them: digits alike, accented letters alike, a few signs of their own.
+_SIGNS = "€£’‘“”–—…§¶²°±"
+
+
+def _class_table() -> np.ndarray:
+    table = np.full(0x3100, 1, np.int64)
+    table[10], table[9], table[32], table[0xA0] = 2, 3, 3, 3
+    k = 4
+    for o in range(33, 127):
+        if 48 <= o < 58:
+            table[o] = 4
+        else:
+            k += 1
+            table[o] = k
+    for c in ANY:
+        if ord(c) >= 0xC0:
+            table[ord(c)] = k + 2 if c.isupper() else k + 1
+    for i, c in enumerate(_SIGNS):
+        if ord(c) < len(table):
+            table[ord(c)] = k + 3 + i
+    return table
+
+
+CLASSES = _class_table()
+N_CLASSES = int(CLASSES.max()) + 1
+TAGS = 1 + 2 * len(KINDS)
+
+
+def codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return CLASSES[np.minimum(points, len(CLASSES) - 1)]
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Merged surroundings of all cues of a text."""
+    out: list[list[int]] = []
+    for start, end in cues(text):
+        a, b = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def squash(x: np.ndarray, a: np.ndarray) -> None:
+    """The network's sigmoid-shaped function in place: x (27 + x²) / (27 + 9 x²) = x (1/9 + 8/3 / (3 + x²)) up to 3, then 1; a is scratch."""
+    np.clip(x, -3.0, 3.0, out=x)
+    np.multiply(x, x, out=a)
+    a += 3.0
+    np.divide(np.float32(8 / 3), a, out=a)
+    a += np.float32(1 / 9)
+    x *= a
+
+
+class Tagger:
+    """The trained network; all arrays float32."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        w = {k: v.astype(np.float32) for k, v in weights.items()}
+        self.h = w["wh"].shape[1]
+        # gate(x) = (1 + squash(x / 2)) / 2: with halved columns one squash serves all gates
+        half = np.ones(4 * self.h, np.float32)
+        half[: 3 * self.h] = 0.5
+        self.table = (np.einsum("ve,deg->dvg", w["emb"], w["wx"]) + w["b"][:, None, :]) * half
+        self.wh = w["wh"] * half
+        self.wo, self.bo, self.trans = w["wo"], w["bo"].copy(), w["trans"]
+        for kind, margin in MARGINS.items():
+            self.bo[1 + 2 * KINDS.index(kind)] += margin
+
+    def scores(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """[n, T] character classes, longest rows first -> [n, T, tags]; a row's scores depend on its own characters only."""
+        n, steps = x.shape
+        h = self.h
+        by_step = np.ascontiguousarray(x.T)
+        live = np.searchsorted(-lengths, -np.arange(steps), "left")  # rows longer than t
+        out = np.zeros((2, steps, n, h), np.float32)
+        g, add = (np.empty((n, 4 * h), np.float32) for _ in range(2))
+        for d in range(2):
+            hid, cell, small = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                m = int(live[t])
+                if not m:
+                    continue
+                now, c = g[:m], cell[:m]
+                np.take(self.table[d], by_step[t, :m], axis=0, out=now, mode="clip")
+                np.matmul(hid[:m], self.wh[d], out=add[:m])
+                now += add[:m]
+                squash(now, add[:m])
+                gates = now[:, : 3 * h]
+                gates += 1.0
+                c *= now[:, h : 2 * h]
+                now[:, :h] *= now[:, 3 * h :]
+                c += now[:, :h]
+                c *= 0.5
+                hid = out[d, t]
+                hid[:m] = c
+                squash(hid[:m], small[:m])
+                hid[:m] *= now[:, 2 * h : 3 * h]
+                hid[:m] *= 0.5
+        return (out[0] @ self.wo[:h] + out[1] @ self.wo[h:] + self.bo).transpose(1, 0, 2)
+
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi paths of texts of different lengths, in parts of a bounded number of cells."""
+        paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+        start = 0
+        while start < len(order):
+            part = order[start : start + max(1, min(1024, CELLS // max(1, len(scores[order[start]]))))]
+            start += len(part)
+            lengths = np.array([len(scores[i]) for i in part])
+            top = int(lengths[0])
+            # tags before texts, so that every operation runs along the texts
+            padded = np.zeros((top, TAGS, len(part)), np.float32)
+            for r, i in enumerate(part):
+                padded[: len(scores[i]), :, r] = scores[i]
+            score, back = padded[0].copy(), np.zeros((top, TAGS, len(part)), np.int8)
+            for t in range(1, top):
+                live = int(np.searchsorted(-lengths, -t, "left"))
+                now = score[:, :live]
+                best, arg = now[0] + self.trans[0][:, None], back[t, :, :live]
+                for j in range(1, TAGS):
+                    other = now[j] + self.trans[j][:, None]
+                    np.copyto(arg, np.int8(j), where=other > best)
+                    np.maximum(best, other, out=best)
+                np.add(best, padded[t, :, :live], out=now)
+            rows, final = np.arange(len(part)), score.argmax(0)
+            path = np.zeros((top, len(part)), np.int64)
+            at = final.copy()
+            for t in range(top - 1, -1, -1):
+                if t + 1 < top:
+                    at = np.where(lengths > t + 1, back[t + 1, at, rows], final)
+                path[t] = at
+            for r, i in enumerate(part):
+                paths[i] = path[: lengths[r], r]
+        return paths
+
+
+@lru_cache(maxsize=1)
+def tagger() -> Tagger:
+    with np.load(WEIGHTS) as f:
+        return Tagger(dict(f))
+
+
+_BLEND = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
+
+
+def _tag_texts(pieces: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
+    """Tags of each text, from blended scores of the windows over all of it."""
+    windows, places = [], []
+    for k, piece in enumerate(pieces):
+        starts = [0] if len(piece) <= WINDOW else [*range(0, len(piece) - WINDOW, STRIDE), len(piece) - WINDOW]
+        for s in starts:
+            windows.append(piece[s : s + WINDOW])
+            places.append((k, s))
+    merged: list[np.ndarray | None] = [None if len(p) <= WINDOW else np.zeros((len(p), TAGS), np.float32) for p in pieces]
+    weight = [None if len(p) <= WINDOW else np.zeros((len(p), 1), np.float32) for p in pieces]
+    order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
+    for at in range(0, len(order), BLOCK):
+        part = [windows[i] for i in order[at : at + BLOCK]]
+        lengths = np.array([len(w) for w in part])
+        x = np.zeros((len(part), int(lengths[0])), np.int64)
+        for r, w in enumerate(part):
+            x[r, : len(w)] = w
+        out = net.scores(x, lengths)
+        for r, n in enumerate(lengths.tolist()):
+            k, s = places[order[at + r]]
+            if weight[k] is None:
+                merged[k] = out[r, :n]
+            else:
+                blend = _BLEND[:n, None]
+                merged[k][s : s + n] += out[r, :n] * blend
+                weight[k][s : s + n] += blend
+    for m, w in zip(merged, weight):
+        if w is not None:
+            m /= w
+    return _decoded(merged, net)
+
+
+def _plain(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Positions which the best path of a text surely leaves outside of all spans.
+
+    No other tag can be there if it costs more than any transitions to and from it could gain over those of the outside; beside a
+    position known for that, fewer transitions are possible.
+    """
+    to, fro = trans - trans[:, :1], trans - trans[:1]  # gain of a tag over the outside: from each tag to it, from it to each tag
+    costs = scores[:, :1] - scores[:, 1:]
+    plain = np.zeros(len(scores), bool)
+    for _ in range(8):
+        before, after = np.append(True, plain[:-1])[:, None], np.append(plain[1:], True)[:, None]
+        gain_in = np.where(before, to[0, 1:], to.max(0)[1:])
+        gain_out = np.where(after, fro[1:, 0], fro.max(1)[1:])
+        gain_in[0] = gain_out[-1] = 0.0
+        more = (costs > gain_in + gain_out + 1e-3).all(1) | plain
+        if (more == plain).all():
+            break
+        plain = more
+    return plain
+
+
+def _decoded(scores: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
+    """Best paths of whole texts: what lies between positions surely outside is decoded apart, which gives the same path."""
+    paths = [np.zeros(len(s), np.int64) for s in scores]
+    parts, places = [], []
+    for k, s in enumerate(scores):
+        open_ = np.flatnonzero(np.diff(np.concatenate([[False], ~_plain(s, net.trans), [False]]).astype(np.int8)))
+        for a, b in zip(open_[::2].tolist(), open_[1::2].tolist()):
+            first, last = max(a - 1, 0), min(b + 1, len(s))  # with the positions outside at its ends
+            part = s[first:last].copy()
+            if first < a:
+                part[0, 1:] = -1e6
+            if last > b:
+                part[-1, 1:] = -1e6
+            parts.append(part)
+            places.append((k, first, last))
+    for (k, first, last), path in zip(places, net.decode(parts)):
+        paths[k][first:last] = path
+    return paths
 
 
 _MAIL = re.compile(r"[\w.+-]+\s?(?:@|[(\[](?:at|AT)[)\]])\s?[\w-]+")
@@ -323,19 +582,13 @@ def find(texts: list[str | None], net: Tagger | None = None) -> list[list[tuple[
     net = net or tagger()
     pieces, owners = [], []
     for k, text in enumerate(texts):
-        if not text:
-            continue
-        spots = stretches(text)
-        if not spots:
-            continue
-        coded = codes(text)
-        for a, b in spots:
-            pieces.append(coded[a:b])
-            owners.append((k, a))
+        if text:
+            pieces.append(codes(text))
+            owners.append(k)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not pieces:
         return out
-    for (k, a), tags in zip(owners, _tag_stretches(pieces, net)):
+    for k, tags in zip(owners, _tag_texts(pieces, net)):
         if not tags.any():
             continue
         text = texts[k]
@@ -348,7 +601,7 @@ def find(texts: list[str | None], net: Tagger | None = None) -> list[list[tuple[
             while end < len(kinds) and kinds[end] == kinds[start] and (end == start or tags[end] % 2 == 0):
                 end += 1
             kind = KINDS[kinds[start]]
-            first, last = _widened(kind, text, a + int(start), a + int(end))
+            first, last = _widened(kind, text, int(start), int(end))
             if out[k] and first < out[k][-1][1]:
                 first = out[k][-1][1]
             kind = _of_form(kind, text, first, last)

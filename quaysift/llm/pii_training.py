@@ -44,7 +44,7 @@ def varied(text: str, found: list[tuple[int, int, int]], rng: random.Random) ->
 
 
 def windows(labelled: list[Labelled], rng: random.Random) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Character classes, tags and lengths of the windows over the stretches of the texts, laid as in use."""
+    """Character classes, tags and lengths of the windows over the stretches around the cues of the texts, laid within them as in use."""
     xs, ys, sizes = [], [], []
     for text, found in labelled:
         tags = np.zeros(len(text), np.int64)

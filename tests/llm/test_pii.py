@@ -132,3 +132,26 @@ def test_decoys():
 ])
 def test_plain_cases(text, kinds):
     assert {k for *_, k in pii.find([text])[0]} == kinds
+
+
+def test_every_position_is_read():
+    """All of a text passes the tagger, whether or not it has a cue; what only a cue let be read before is found."""
+    seen = []
+
+    class Spy(pii.Tagger):
+        def scores(self, x, lengths):
+            seen.extend("".join(map(chr, row[:n])) for row, n in zip(x.tolist(), lengths.tolist()))
+            return super().scores(x, lengths)
+
+    with pii.np.load(pii.WEIGHTS) as f:
+        spy = Spy(dict(f))
+    for text in ("nothing here is in capitals, no sign and no number. " * 9, "short", "ab" * 7000):
+        seen.clear()
+        pii.find([text], spy)
+        whole = "".join(map(chr, pii.codes(text).tolist()))
+        assert seen and all(any(whole[a : a + 5] in w for w in seen) for a in range(0, len(whole) - 4, 3)) and sum(map(len, seen)) >= len(text)
+
+
+@pytest.mark.parametrize("text", ["please call 020–7946–0958 today.", "his number is +44–20–7946–0958.", "reach him at 555_867_5309 any time"])
+def test_found_without_cue(text):
+    assert pii.find([text])[0] and not pii.stretches(text)
