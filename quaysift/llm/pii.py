@@ -11,7 +11,9 @@ rows; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+import threading
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -26,8 +28,8 @@ from quaysift.llm.pii_templates import KINDS
 from quaysift.session import spread
 
 PLACEHOLDERS = {"person_name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street_address": "[ADDRESS]"}
-WINDOW, STRIDE, CONTEXT, BLOCK = 96, 64, 26, 1024
-CELLS = 1 << 20
+WINDOW, STRIDE, CONTEXT, BLOCK = 96, 64, 26, 496  # a block's rows are no power of two, for the caches' sake
+CELLS, PIECE, GROUP = 1 << 20, 128, 1 << 20
 #: What the beginning of a span of a kind gains over the trained scores: a missed name or number is worse than a spare placeholder.
 MARGINS = {"person_name": 3.0, "phone": 2.0}
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
@@ -125,311 +127,148 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def squash(x: np.ndarray, a: np.ndarray) -> None:
-    """The network's sigmoid-shaped function in place: x (27 + x²) / (27 + 9 x²) = x (1/9 + 8/3 / (3 + x²)) up to 3, then 1; a is scratch."""
-    np.clip(x, -3.0, 3.0, out=x)
-    np.multiply(x, x, out=a)
-    a += 3.0
-    np.divide(np.float32(8 / 3), a, out=a)
-    a += np.float32(1 / 9)
-    x *= a
+#: The network's sigmoid-shaped function of x, x (27 + x²) / (27 + 9 x²) up to 3, then 1, is v / KAPPA with v = u + u / (1/8 + u²), u = x / ROOT up to EDGE.
+ROOT, EDGE, KAPPA = np.float32(24**0.5), np.float32(0.375**0.5), np.float32(9 / 24**0.5)
 
 
-class Tagger:
-    """The trained network; all arrays float32."""
-
-    def __init__(self, weights: dict[str, np.ndarray]):
-        w = {k: v.astype(np.float32) for k, v in weights.items()}
-        self.h = w["wh"].shape[1]
-        # gate(x) = (1 + squash(x / 2)) / 2: with halved columns one squash serves all gates
-        half = np.ones(4 * self.h, np.float32)
-        half[: 3 * self.h] = 0.5
-        self.table = (np.einsum("ve,deg->dvg", w["emb"], w["wx"]) + w["b"][:, None, :]) * half
-        self.wh = w["wh"] * half
-        self.wo, self.bo, self.trans = w["wo"], w["bo"].copy(), w["trans"]
-        for kind, margin in MARGINS.items():
-            self.bo[1 + 2 * KINDS.index(kind)] += margin
-
-    def scores(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[n, T] character classes, longest rows first -> [n, T, tags]; a row's scores depend on its own characters only."""
-        n, steps = x.shape
-        h = self.h
-        by_step = np.ascontiguousarray(x.T)
-        live = np.searchsorted(-lengths, -np.arange(steps), "left")  # rows longer than t
-        out = np.zeros((2, steps, n, h), np.float32)
-        g, add = (np.empty((n, 4 * h), np.float32) for _ in range(2))
-        for d in range(2):
-            hid, cell, small = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                m = int(live[t])
-                if not m:
-                    continue
-                now, c = g[:m], cell[:m]
-                np.take(self.table[d], by_step[t, :m], axis=0, out=now, mode="clip")
-                np.matmul(hid[:m], self.wh[d], out=add[:m])
-                now += add[:m]
-                squash(now, add[:m])
-                gates = now[:, : 3 * h]
-                gates += 1.0
-                c *= now[:, h : 2 * h]
-                now[:, :h] *= now[:, 3 * h :]
-                c += now[:, :h]
-                c *= 0.5
-                hid = out[d, t]
-                hid[:m] = c
-                squash(hid[:m], small[:m])
-                hid[:m] *= now[:, 2 * h : 3 * h]
-                hid[:m] *= 0.5
-        return (out[0] @ self.wo[:h] + out[1] @ self.wo[h:] + self.bo).transpose(1, 0, 2)
-
-    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi paths of texts of different lengths, in parts of a bounded number of cells."""
-        paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
-        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-        start = 0
-        while start < len(order):
-            part = order[start : start + max(1, min(1024, CELLS // max(1, len(scores[order[start]]))))]
-            start += len(part)
-            lengths = np.array([len(scores[i]) for i in part])
-            top = int(lengths[0])
-            # tags before texts, so that every operation runs along the texts
-            padded = np.zeros((top, TAGS, len(part)), np.float32)
-            for r, i in enumerate(part):
-                padded[: len(scores[i]), :, r] = scores[i]
-            score, back = padded[0].copy(), np.zeros((top, TAGS, len(part)), np.int8)
-            for t in range(1, top):
-                live = int(np.searchsorted(-lengths, -t, "left"))
-                now = score[:, :live]
-                best, arg = now[0] + self.trans[0][:, None], back[t, :, :live]
-                for j in range(1, TAGS):
-                    other = now[j] + self.trans[j][:, None]
-                    np.copyto(arg, np.int8(j), where=other > best)
-                    np.maximum(best, other, out=best)
-                np.add(best, padded[t, :, :live], out=now)
-            rows, final = np.arange(len(part)), score.argmax(0)
-            path = np.zeros((top, len(part)), np.int64)
-            at = final.copy()
-            for t in range(top - 1, -1, -1):
-                if t + 1 < top:
-                    at = np.where(lengths > t + 1, back[t + 1, at, rows], final)
-                path[t] = at
-            for r, i in enumerate(part):
-                paths[i] = path[: lengths[r], r]
-        return paths
-
-
-@lru_cache(maxsize=1)
-def tagger() -> Tagger:
-    with np.load(WEIGHTS) as f:
-        return Tagger(dict(f))
+def squash(u: np.ndarray, a: np.ndarray) -> None:
+    """KAPPA times the network's sigmoid-shaped function of ROOT u, in place; a is scratch."""
+    np.clip(u, -EDGE, EDGE, out=u)
+    np.multiply(u, u, out=a)
+    a += np.float32(1 / 8)
+    np.divide(u, a, out=a)
+    u += a
 
 
-_BLEND = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
+_LOCAL = threading.local()
 
 
-def _tag_texts(pieces: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
-    """Tags of each text, from blended scores of the windows over all of it."""
-    windows, places = [], []
-    for k, piece in enumerate(pieces):
-        starts = [0] if len(piece) <= WINDOW else [*range(0, len(piece) - WINDOW, STRIDE), len(piece) - WINDOW]
-        for s in starts:
-            windows.append(piece[s : s + WINDOW])
-            places.append((k, s))
-    merged: list[np.ndarray | None] = [None if len(p) <= WINDOW else np.zeros((len(p), TAGS), np.float32) for p in pieces]
-    weight = [None if len(p) <= WINDOW else np.zeros((len(p), 1), np.float32) for p in pieces]
-    order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
-    for at in range(0, len(order), BLOCK):
-        part = [windows[i] for i in order[at : at + BLOCK]]
-        lengths = np.array([len(w) for w in part])
-        x = np.zeros((len(part), int(lengths[0])), np.int64)
-        for r, w in enumerate(part):
-            x[r, : len(w)] = w
-        out = net.scores(x, lengths)
-        for r, n in enumerate(lengths.tolist()):
-            k, s = places[order[at + r]]
-            if weight[k] is None:
-                merged[k] = out[r, :n]
-            else:
-                blend = _BLEND[:n, None]
-                merged[k][s : s + n] += out[r, :n] * blend
-                weight[k][s : s + n] += blend
-    for m, w in zip(merged, weight):
-        if w is not None:
-            m /= w
-    return net.decode(merged)
-
-
-_MAIL = re.compile(r"@|[(\[](?:at|AT)[)\]]")
-_USER = re.compile(r"[\w.+-]*\s?$")
-_HOST = re.compile(r"(?:\s?[\w-]+(?:\s?(?:\.|[(\[](?:dot|DOT)[)\]])\s?[\w-]+)*)?")
-_CUE_NAME = re.compile(rf"[{UP}](?<![{ANY}][{UP}])(?:\.|[{ANY}'’-]+[.,]?)\s{{1,2}}(?:(?:{_PARTICLE})\s){{0,3}}(?:[{UP}]\.\s?){{0,2}}[{UP}][{ANY}'’-]*")
-_CUE_NUMBER = re.compile(rf"\d(?<![\d$€£]\d)(?:(?:[ \xa0()/.+-]{{0,3}}\d){{6,}}|[\dA-Za-z]{{0,4}},?[ \xa0](?:[{UP}]|(?:rue|avenue|boulevard|via|calle)[ \xa0]))")
-_CUE_LETTERED = re.compile(r"[A-Z][ -]?\d(?:[ -]?\d){4,}")
-_CUE_HOUSE = re.compile(r"[a-zßX.]\s\d")
-_POSTCODE = re.compile(r"\d{1,4}[a-z]?,?\s\s?\d{2}-?\d{2,3}")
-_DAY = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d$")
-
-
-def cues(text: str) -> list[tuple[int, int]]:
-    """Spans around which training reads a text."""
-    found = []
-    for m in _CUE_NAME.finditer(text):
-        first = m[0].split(None, 1)[0]
-        if first in _NO_NAME:
-            m = _CUE_NAME.match(text, m.start() + len(first) + 1)
-        if m:
-            found.append(m.span())
-    found += [m.span() for m in _CUE_NUMBER.finditer(text) if not _DAY.match(m[0])]
-    found += [m.span() for m in _CUE_LETTERED.finditer(text)]
-    if any(mark in text for mark in ("@", "at)", "at]", "AT)", "AT]")):
-        found += [(_USER.search(text, max(0, m.start() - 65), m.start()).start(), _HOST.match(text, m.end()).end()) for m in _CUE_MAIL.finditer(text)]
-    for m in _CUE_HOUSE.finditer(text):
-        at = m.start() + 1
-        before = text[max(0, at - 40) : at]
-        house = _POSTCODE.match(text, at + 1)
-        named = before[before.rfind(" ") + 1 :][:1].isupper()  # the word before a number that may be a street's
-        if house or before.endswith(_STREET_ENDS) or named and _STREET_BEFORE.search(before):
-            found.append((m.start(), house.end() if house else m.end()))
-    found.sort()
-    return found
-
-
-# Characters as the tagger sees them: digits alike, accented letters alike, a few signs of their own.
-_SIGNS = "€£’‘“”–—…§¶²°±"
-
-
-def _class_table() -> np.ndarray:
-    table = np.full(0x3100, 1, np.int64)
-    table[10], table[9], table[32], table[0xA0] = 2, 3, 3, 3
-    k = 4
-    for o in range(33, 127):
-        if 48 <= o < 58:
-            table[o] = 4
-        else:
-            k += 1
-            table[o] = k
-    for c in ANY:
-        if ord(c) >= 0xC0:
-            table[ord(c)] = k + 2 if c.isupper() else k + 1
-    for i, c in enumerate(_SIGNS):
-        if ord(c) < len(table):
-            table[ord(c)] = k + 3 + i
-    return table
-
-
-CLASSES = _class_table()
-N_CLASSES = int(CLASSES.max()) + 1
-TAGS = 1 + 2 * len(KINDS)
-
-
-def codes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return CLASSES[np.minimum(points, len(CLASSES) - 1)]
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged surroundings of all cues of a text."""
-    out: list[list[int]] = []
-    for start, end in cues(text):
-        a, b = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def squash(x: np.ndarray, a: np.ndarray) -> None:
-    """The network's sigmoid-shaped function in place: x (27 + x²) / (27 + 9 x²) = x (1/9 + 8/3 / (3 + x²)) up to 3, then 1; a is scratch."""
-    np.clip(x, -3.0, 3.0, out=x)
-    np.multiply(x, x, out=a)
-    a += 3.0
-    np.divide(np.float32(8 / 3), a, out=a)
-    a += np.float32(1 / 9)
-    x *= a
+def _scratch(name: str, *shape: int) -> np.ndarray:
+    """A float32 array to be overwritten, in the memory of the last one of this name: fresh memory costs more than the sums in it."""
+    kept, size = _LOCAL.__dict__, math.prod(shape)
+    if name not in kept or len(kept[name]) < size:
+        kept[name] = np.empty(size, np.float32)
+    return kept[name][:size].reshape(shape)
 
 
 class Tagger:
     """The trained network; all arrays float32."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        w = {k: v.astype(np.float32) for k, v in weights.items()}
-        self.h = w["wh"].shape[1]
-        # gate(x) = (1 + squash(x / 2)) / 2: with halved columns one squash serves all gates
-        half = np.ones(4 * self.h, np.float32)
-        half[: 3 * self.h] = 0.5
-        self.table = (np.einsum("ve,deg->dvg", w["emb"], w["wx"]) + w["b"][:, None, :]) * half
-        self.wh = w["wh"] * half
-        self.wo, self.bo, self.trans = w["wo"], w["bo"].copy(), w["trans"]
+        w = {k: v.astype(np.float64) for k, v in weights.items()}
+        self.h, width = w["wh"].shape[1], w["emb"].shape[1]
+        h = self.h
+        # gate(x) = (KAPPA + v(x / 2)) / (2 KAPPA): with halved columns one squash serves all gates; states are kept 2 KAPPA² times as large
+        column = np.full(4 * h, 1 / float(ROOT))
+        column[: 3 * h] /= 2
+        state = 1 / (2 * float(KAPPA) ** 2)
+        # one product for each step: the gates from state, character and bias, and the tags' scores of the step before
+        step = np.zeros((2, 4 * h + TAGS, h + width + 1))
+        step[:, : 4 * h] = (np.concatenate([w["wh"] * state, w["wx"], w["b"][:, None, :]], 1) * column).transpose(0, 2, 1)
+        step[:, 4 * h :, :h] = w["wo"].reshape(2, h, TAGS).transpose(0, 2, 1) * state
+        self.step, self.emb = step.astype(np.float32), np.ascontiguousarray(w["emb"].T, np.float32)
+        self.bo, self.trans = w["bo"].astype(np.float32), w["trans"].astype(np.float32)
         for kind, margin in MARGINS.items():
             self.bo[1 + 2 * KINDS.index(kind)] += margin
 
     def scores(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[n, T] character classes, longest rows first -> [n, T, tags]; a row's scores depend on its own characters only."""
+        """[n, T] character classes, longest rows first -> [n, T, tags]; a row's scores depend on its own characters only.
+
+        Arrays have the rows last, so that every operation runs along them; both directions take a step at once, the second from each
+        row's own end. What is computed behind the end of a row, beside longer ones, is not used.
+        """
         n, steps = x.shape
-        h = self.h
-        by_step = np.ascontiguousarray(x.T)
+        h, width = self.h, len(self.emb)
         live = np.searchsorted(-lengths, -np.arange(steps), "left")  # rows longer than t
-        out = np.zeros((2, steps, n, h), np.float32)
-        g, add = (np.empty((n, 4 * h), np.float32) for _ in range(2))
-        for d in range(2):
-            hid, cell, small = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                m = int(live[t])
-                if not m:
-                    continue
-                now, c = g[:m], cell[:m]
-                np.take(self.table[d], by_step[t, :m], axis=0, out=now, mode="clip")
-                np.matmul(hid[:m], self.wh[d], out=add[:m])
-                now += add[:m]
-                squash(now, add[:m])
-                gates = now[:, : 3 * h]
-                gates += 1.0
-                c *= now[:, h : 2 * h]
-                now[:, :h] *= now[:, 3 * h :]
-                c += now[:, :h]
-                c *= 0.5
-                hid = out[d, t]
-                hid[:m] = c
-                squash(hid[:m], small[:m])
-                hid[:m] *= now[:, 2 * h : 3 * h]
-                hid[:m] *= 0.5
-        return (out[0] @ self.wo[:h] + out[1] @ self.wo[h:] + self.bo).transpose(1, 0, 2)
+        ahead = np.take(self.emb, np.ascontiguousarray(x.T), axis=1, mode="clip", out=_scratch("ahead", width, steps, n))
+        even = bool(lengths[-1] == steps)
+        if even:
+            back = ahead[:, ::-1]
+        else:
+            ends_first = np.take_along_axis(x, np.maximum(lengths[:, None] - 1 - np.arange(steps), 0), 1)
+            back = np.take(self.emb, np.ascontiguousarray(ends_first.T), axis=1, mode="clip", out=_scratch("back", width, steps, n))
+        out = _scratch("out", 2, steps, TAGS, n)
+        whole = [_scratch(name, 2, k, n) for name, k in (("given", h + width + 1), ("made", 4 * h + TAGS), ("squash", 4 * h), ("cell", h), ("now", h), ("small", h))]
+        whole[0][:, :h], whole[0][:, -1], whole[3][:] = 0.0, 1.0, 0.0
+        size = 0
+        for t in range(steps + 1):
+            need = int(live[max(t - 1, 0)])  # rows with a score of the step before
+            if not t or need <= size - 64:
+                size = need
+                given, made, scratch, cell, now, small = (a[:, :, :size] for a in whole)
+                state, gates, three = given[:, :h], made[:, : 4 * h], made[:, : 3 * h]
+                enter, forget, leave, new = (made[:, i * h : (i + 1) * h] for i in range(4))
+            if t < steps:
+                given[0, h:-1], given[1, h:-1] = ahead[:, t, :size], back[:, t, :size]
+            np.matmul(self.step, given, out=made)
+            if t:
+                out[:, t - 1, :, :size] = made[:, 4 * h :]
+            if t == steps:
+                break
+            squash(gates, scratch)
+            three += KAPPA
+            cell *= forget
+            np.multiply(enter, new, out=small)
+            cell += small
+            cell *= 1 / (2 * KAPPA)
+            np.multiply(cell, 1 / (KAPPA * ROOT), out=now)
+            squash(now, small)
+            np.multiply(now, leave, out=state)
+        if even:
+            out[0] += out[1, ::-1]
+            out[0] += self.bo[:, None]
+            return np.ascontiguousarray(out[0].transpose(2, 0, 1))
+        first, second = (np.ascontiguousarray(o.transpose(2, 0, 1)) for o in out)
+        for r, k in enumerate(lengths.tolist()):
+            first[r, :k] += second[r, :k][::-1]
+            first[r, :k] += self.bo
+        return first
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi paths of texts of different lengths, in parts of a bounded number of cells."""
-        paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
-        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+        """Viterbi paths of texts of different lengths."""
+        ends = np.cumsum([len(s) for s in scores])
+        return np.split(self.paths(np.concatenate(scores), np.append(0, ends[:-1]), ends), ends[:-1])
+
+    def paths(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Tags of all positions by the Viterbi paths of the pieces from first up to last, in parts of a bounded number of cells.
+
+        A position of two pieces must be outside of spans in both.
+        """
+        tags, turned = np.zeros(len(flat), np.int64), np.ascontiguousarray(flat.T)
+        order = np.argsort(first - last, kind="stable")
         start = 0
         while start < len(order):
-            part = order[start : start + max(1, min(1024, CELLS // max(1, len(scores[order[start]]))))]
+            longest = int(last[order[start]] - first[order[start]])
+            part = order[start : start + max(1, min(512, CELLS // max(1, longest)))]
             start += len(part)
-            lengths = np.array([len(scores[i]) for i in part])
-            top = int(lengths[0])
-            # tags before texts, so that every operation runs along the texts
-            padded = np.zeros((top, TAGS, len(part)), np.float32)
-            for r, i in enumerate(part):
-                padded[: len(scores[i]), :, r] = scores[i]
-            score, back = padded[0].copy(), np.zeros((top, TAGS, len(part)), np.int8)
-            for t in range(1, top):
-                live = int(np.searchsorted(-lengths, -t, "left"))
-                now = score[:, :live]
-                best, arg = now[0] + self.trans[0][:, None], back[t, :, :live]
-                for j in range(1, TAGS):
-                    other = now[j] + self.trans[j][:, None]
-                    np.copyto(arg, np.int8(j), where=other > best)
-                    np.maximum(best, other, out=best)
-                np.add(best, padded[t, :, :live], out=now)
-            rows, final = np.arange(len(part)), score.argmax(0)
-            path = np.zeros((top, len(part)), np.int64)
-            at = final.copy()
-            for t in range(top - 1, -1, -1):
-                if t + 1 < top:
-                    at = np.where(lengths > t + 1, back[t + 1, at, rows], final)
-                path[t] = at
-            for r, i in enumerate(part):
-                paths[i] = path[: lengths[r], r]
-        return paths
+            lengths = (last - first)[part]
+            live = np.searchsorted(-lengths, -np.arange(longest + 1), "left").tolist()  # pieces longer than t
+            # tags before pieces, so that every operation runs along the pieces
+            best = _scratch("best", longest, TAGS, len(part))
+            for t in range(longest):
+                np.take(turned, first[part] + t, axis=1, mode="clip", out=best[t])
+            ways, most = _scratch("ways", TAGS, TAGS, len(part)), _scratch("most", TAGS, len(part))
+            step, outside = self.trans[:, :, None], best[0, 0].copy()
+            for t in range(1, longest):
+                m = live[t]
+                np.add(best[t - 1, :, None, :m], step, out=ways[:, :, :m])
+                np.maximum.reduce(ways[:, :, :m], axis=0, out=most[:, :m])
+                outside[:m] += self.trans[0, 0]
+                outside[:m] += best[t, 0, :m]
+                best[t, :, :m] += most[:, :m]
+            # only pieces whose best path is not the one outside of all spans are followed back
+            some = np.flatnonzero(best[lengths - 1, :, np.arange(len(part))].max(1) > outside)
+            best, begins, lengths = best[:, :, some], first[part[some]], lengths[some]
+            live = np.searchsorted(-lengths, -np.arange(longest + 1), "left").tolist()
+            at = np.zeros(len(some), np.int64)
+            for t in range(live.index(0) - 1, -1, -1):
+                m, n = live[t + 1], live[t]
+                if m:
+                    at[:m] = (best[t, :, :m] + self.trans[:, at[:m]]).argmax(0)
+                if m < n:
+                    at[m:n] = best[t, :, m:n].argmax(0)
+                tags[begins[:n] + t] = at[:n]
+        return tags
 
 
 @lru_cache(maxsize=1)
@@ -443,75 +282,55 @@ _BLEND = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(n
 
 def _tag_texts(pieces: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
     """Tags of each text, from blended scores of the windows over all of it."""
-    windows, places = [], []
-    for k, piece in enumerate(pieces):
-        starts = [0] if len(piece) <= WINDOW else [*range(0, len(piece) - WINDOW, STRIDE), len(piece) - WINDOW]
-        for s in starts:
-            windows.append(piece[s : s + WINDOW])
-            places.append((k, s))
-    merged: list[np.ndarray | None] = [None if len(p) <= WINDOW else np.zeros((len(p), TAGS), np.float32) for p in pieces]
-    weight = [None if len(p) <= WINDOW else np.zeros((len(p), 1), np.float32) for p in pieces]
-    order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
+    flat, ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+    starts, sizes = [], []
+    for end, piece in zip(ends.tolist(), pieces):
+        begin = end - len(piece)
+        some = [begin] if len(piece) <= WINDOW else [*range(begin, end - WINDOW, STRIDE), end - WINDOW]
+        starts += some
+        sizes += [min(len(piece), WINDOW)] * len(some)
+    order = np.argsort(-np.array(sizes), kind="stable")
+    start, size, step = np.array(starts)[order], np.array(sizes)[order], np.arange(WINDOW)
+    weight = np.zeros(len(flat), np.float32)
+    for s, n in zip(start.tolist(), size.tolist()):
+        weight[s : s + n] += _BLEND[:n]
+    merged = np.zeros((len(flat), TAGS), np.float32)
     for at in range(0, len(order), BLOCK):
-        part = [windows[i] for i in order[at : at + BLOCK]]
-        lengths = np.array([len(w) for w in part])
-        x = np.zeros((len(part), int(lengths[0])), np.int64)
-        for r, w in enumerate(part):
-            x[r, : len(w)] = w
-        out = net.scores(x, lengths)
-        for r, n in enumerate(lengths.tolist()):
-            k, s = places[order[at + r]]
-            if weight[k] is None:
-                merged[k] = out[r, :n]
-            else:
-                blend = _BLEND[:n, None]
-                merged[k][s : s + n] += out[r, :n] * blend
-                weight[k][s : s + n] += blend
-    for m, w in zip(merged, weight):
-        if w is not None:
-            m /= w
-    return _decoded(merged, net)
+        begins, lengths = start[at : at + BLOCK], size[at : at + BLOCK]
+        here = np.minimum(begins[:, None] + step[: lengths[0]], len(flat) - 1)
+        out = net.scores(flat[here], lengths)
+        out *= (_BLEND[: lengths[0]] / weight[here])[:, :, None]
+        for r, (s, n) in enumerate(zip(begins.tolist(), lengths.tolist())):
+            merged[s : s + n] += out[r, :n]
+    return _decoded(merged, ends, net)
 
 
 def _plain(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Positions which the best path of a text surely leaves outside of all spans.
+    """Positions which the best path of a text surely leaves outside of all spans; the texts of scores may follow each other.
 
-    No other tag can be there if it costs more than any transitions to and from it could gain over those of the outside; beside a
-    position known for that, fewer transitions are possible.
+    A run of other tags gains over the outside at most the sum of what the best tag gains at each of its positions, with the best
+    transition between tags, and the best ways in and out. Where even the run that gains most of those over a position loses, no best path has one.
     """
-    to, fro = trans - trans[:, :1], trans - trans[:1]  # gain of a tag over the outside: from each tag to it, from it to each tag
-    costs = scores[:, :1] - scores[:, 1:]
-    plain = np.zeros(len(scores), bool)
-    for _ in range(8):
-        before, after = np.append(True, plain[:-1])[:, None], np.append(plain[1:], True)[:, None]
-        gain_in = np.where(before, to[0, 1:], to.max(0)[1:])
-        gain_out = np.where(after, fro[1:, 0], fro.max(1)[1:])
-        gain_in[0] = gain_out[-1] = 0.0
-        more = (costs > gain_in + gain_out + 1e-3).all(1) | plain
-        if (more == plain).all():
-            break
-        plain = more
-    return plain
-
-
-def _decoded(scores: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
-    """Best paths of whole texts: what lies between positions surely outside is decoded apart, which gives the same path."""
-    paths = [np.zeros(len(s), np.int64) for s in scores]
-    parts, places = [], []
-    for k, s in enumerate(scores):
-        open_ = np.flatnonzero(np.diff(np.concatenate([[False], ~_plain(s, net.trans), [False]]).astype(np.int8)))
-        for a, b in zip(open_[::2].tolist(), open_[1::2].tolist()):
-            first, last = max(a - 1, 0), min(b + 1, len(s))  # with the positions outside at its ends
-            part = s[first:last].copy()
-            if first < a:
-                part[0, 1:] = -1e6
-            if last > b:
-                part[-1, 1:] = -1e6
-            parts.append(part)
-            places.append((k, first, last))
-    for (k, first, last), path in zip(places, net.decode(parts)):
-        paths[k][first:last] = path
-    return paths
+    over = trans - trans[0, 0]
+    gains = scores[:, 1].copy()
+    for j in range(2, scores.shape[1]):
+        np.maximum(gains, scores[:, j], out=gains)
+    gains -= scores[:, 0]
+    between = float(over[1:, 1:].max())
+    sums = np.concatenate([[0.0], np.cumsum(gains.astype(np.float64) + between)])
+    most = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])  # ends behind a position less beginnings up to it
+    return most - between + max(0.0, float(over[0, 1:].max())) + max(0.0, float(over[1:, 0].max())) < -0.01
+
+
+def _decoded(flat: np.ndarray, ends: np.ndarray, net: Tagger) -> list[np.ndarray]:
+    """Best paths of whole texts: they are decoded in pieces between positions surely outside of spans, which gives the same paths."""
+    plain = np.flatnonzero(_plain(flat, net.trans))
+    cuts = plain[np.diff(plain // PIECE, prepend=-1) > 0]  # one in a stretch is enough
+    flat[cuts, 1:] = -1e6
+    first, last = np.concatenate([[0], ends[:-1], cuts]), np.concatenate([ends, cuts + 1])
+    first.sort()
+    last.sort()
+    return np.split(net.paths(flat, first, last), ends[:-1])
 
 
 _MAIL = re.compile(r"[\w.+-]+\s?(?:@|[(\[](?:at|AT)[)\]])\s?[\w-]+")
@@ -626,10 +445,13 @@ def records(doc_chunks: DataFrame, evidence_chunks: DataFrame, financial_evidenc
     )
 
 
-def _redacted(frames: Iterator[pd.DataFrame], group: int = 2000) -> Iterator[pd.DataFrame]:
+def _redacted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        for at in range(0, len(pdf), group):
-            part = pdf.iloc[at : at + group]
+        # groups of rows with about GROUP characters, one row at least
+        group = pdf["text"].str.len().cumsum().to_numpy() // GROUP
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(pdf)]
+        for start, end in zip(edges, edges[1:]):
+            part = pdf.iloc[start:end]
             rows = []
             for tbl, key, text, spans in zip(part["tbl"], part["row_key"], part["text"], find(list(part["text"]))):
                 if spans:

@@ -155,3 +155,24 @@ def test_every_position_is_read():
 @pytest.mark.parametrize("text", ["please call 020–7946–0958 today.", "his number is +44–20–7946–0958.", "reach him at 555_867_5309 any time"])
 def test_found_without_cue(text):
     assert pii.find([text])[0] and not pii.stretches(text)
+
+
+def test_pieces_decode_as_whole_texts():
+    """Texts are decoded in short pieces between positions that no span can cover, with the paths of whole texts."""
+    np, net = pii.np, pii.tagger()
+    filler = "The margin of the second quarter was lower than that of the first, as freight and energy cost more than planned.\n"
+    texts = [filler * 6 + text + " " + filler * 5 for text, _ in list(unseen(3))[::24]] + ["short", "Mr Pemberton"]
+    scores, decoded = [], pii._decoded
+
+    def spy(flat, ends, net):
+        scores.extend(np.split(flat.copy(), ends[:-1]))
+        return decoded(flat, ends, net)
+
+    pii._decoded = spy
+    try:
+        tags = pii._tag_texts([pii.codes(t) for t in texts], net)
+    finally:
+        pii._decoded = decoded
+    assert all((a == b).all() for a, b in zip(tags, net.decode(scores), strict=True)) and sum(t.any() for t in tags) > 15
+    plain = pii._plain(np.concatenate(scores), net.trans)
+    assert plain.mean() > 0.2 and not np.concatenate(tags)[plain].any()
