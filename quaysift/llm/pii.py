@@ -234,7 +234,7 @@ class Tagger:
 
         A position of two pieces must be outside of spans in both.
         """
-        tags, turned = np.zeros(len(flat), np.int64), np.ascontiguousarray(flat.T)
+        tags = np.zeros(len(flat), np.int64)
         order = np.argsort(first - last, kind="stable")
         start = 0
         while start < len(order):
@@ -246,7 +246,7 @@ class Tagger:
             # tags before pieces, so that every operation runs along the pieces
             best = _scratch("best", longest, TAGS, len(part))
             for t in range(longest):
-                np.take(turned, first[part] + t, axis=1, mode="clip", out=best[t])
+                best[t] = np.take(flat, first[part] + t, axis=0, mode="clip").T
             ways, most = _scratch("ways", TAGS, TAGS, len(part)), _scratch("most", TAGS, len(part))
             step, outside = self.trans[:, :, None], best[0, 0].copy()
             for t in range(1, longest):
